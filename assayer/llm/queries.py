@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import exact_dedup, sharding, simhash_dedup, token_counts
 
 QUERIES = {
     "op4_sharding": sharding.op4_sharding,
+    "op5_token_counts": token_counts.op5_token_counts,
+    "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
