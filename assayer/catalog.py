@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .operators import coverage, findings, hotspots
+
+QUERIES: dict = {**hotspots.QUERIES, **findings.QUERIES, **coverage.QUERIES}
+ORACLES: dict[str, str] = {**hotspots.ORACLES, **findings.ORACLES, **coverage.ORACLES}
