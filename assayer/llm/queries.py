@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding, simhash_dedup, token_counts
+from . import exact_dedup, language_id, quality, sharding, simhash_dedup, token_counts
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op4_sharding": sharding.op4_sharding,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op8_language_id": language_id.op8_language_id,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
