@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,16 +17,27 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value worked out once: within a lambda an expression would be worked out for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def hashes(words: Column, n: int) -> Column:
     """A 64-bit hash of each run of n words; none where there are fewer words."""
-    at = F.sequence(F.lit(0), F.size(words) - n)
-    each = F.transform(at, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(n))))
-    return F.when(F.size(words) >= n, each).otherwise(F.array().cast("array<long>"))
+
+    def each(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))
+        return F.when(F.size(w) >= n, runs).otherwise(F.array().cast("array<long>"))
+
+    return bound(words, each)
 
 
 def shingles(words: Column, n: int) -> Column:
-    at = F.sequence(F.lit(1), F.size(words) - n + 1)
-    return F.when(F.size(words) >= n, F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+    def each(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    return bound(words, each)
 
 
 def leaks(docs: DataFrame, items: DataFrame, n: int = WORDS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -65,8 +78,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parts_sql(key: str, source: str) -> str:
-    words = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), w -> w <> '')"
-    return f"SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - {WORDS - 2}), i -> array_to_string(w[i:i + {WORDS - 1}], ' '))) AS part FROM (SELECT {key}, {words} AS w FROM {source}) x WHERE len(w) >= {WORDS}"
+    words = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+    return f"SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) AS part FROM (SELECT {key}, {words} AS w FROM {source}) x WHERE len(w) >= {WORDS}"
 
 
 ORACLE = f"""
