@@ -93,6 +93,11 @@ def import_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closure(edges, spark.range(590, 593).select(F.col("id").alias("node")))
 
 
+def import_closure_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """import_closure over all edges: back edges, self loops and cycles included."""
+    return closure(view(spark, sf_dir, "v_edges"), spark.range(590, 593).select(F.col("id").alias("node")))
+
+
 def line_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines by their number from 1, counted per document with those that are not blank."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
@@ -143,7 +148,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         candidates_dedup, candidates_capped, ledger_matrix, missing_classes, uncovered_entries, ledger_referential, usage_responses, usage_cost,
-        import_closure, line_explode, path_normalise, note_normalise, context_window, csv_escape, title_jaccard, rollup_cube,
+        import_closure, import_closure_whole, line_explode, path_normalise, note_normalise, context_window, csv_escape, title_jaccard, rollup_cube,
     )
 }
 ORACLES = {
@@ -163,6 +168,8 @@ ORACLES = {
             f"round((sum(input) * {PRICE_IN}::DOUBLE + sum(output) * {PRICE_OUT}::DOUBLE + coalesce(sum(cache_5m), 0) * {PRICE_IN * CACHE_WRITE}::DOUBLE + sum(cache_read) * {PRICE_IN * CACHE_READ}::DOUBLE) / 1e6, 4) AS cost FROM ({_USAGE}) u", "v_usage"),
         "import_closure": (
             ", b AS (SELECT DISTINCT dst, src FROM v_edges WHERE src < dst AND dst < 600), r AS (SELECT CAST(i AS BIGINT) AS node FROM range(590, 593) t(i) UNION SELECT b.src FROM b JOIN r ON b.dst = r.node) SELECT node FROM r", "v_edges"),
+        "import_closure_whole": (
+            ", r AS (SELECT CAST(i AS BIGINT) AS node FROM range(590, 593) t(i) UNION SELECT e.src FROM v_edges e JOIN r ON e.dst = r.node) SELECT node FROM r", "v_edges"),
         "line_explode": ("SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE trim(line) <> '') AS filled, CAST(max(CASE WHEN trim(line) <> '' THEN pos END) AS INT) AS last_filled FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) d GROUP BY doc_id",),
         "path_normalise": (r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/]+/', ''), '[?#].*', ''), '/+$', '') AS path FROM pages",),
         "note_normalise": (r"SELECT conv_id, turn, substr(trim(regexp_replace(replace(text, '`', ''''), '[ \t\n\r]+', ' ', 'g')), 1, 140) AS note FROM conversations",),
