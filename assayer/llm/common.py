@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import checkpointed, shared_folder
+
+__all__ = ["BROADCAST_ROWS", "bound", "checkpointed", "digest", "shared_folder", "small", "table", "text_of"]
+
 #: Rows of two or three numbers that may be broadcast: some 60 MB as a hash table.
 BROADCAST_ROWS = 500_000
 
@@ -15,19 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder, so that lost executors cost no recomputation."""
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))  # local tests only
-    return df.checkpoint()
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows at most so many rows; else as it is, for a shuffled join."""
+    """df, checkpointed, with a broadcast hint if a count shows at most so many rows; else for a shuffled join."""
+    df = checkpointed(df)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def text_of(column: str) -> Column:
     """The text with null as the empty string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def digest(text: Column) -> Column:
+    """128 bits of SHA-256: texts of one digest count as equal."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value worked out once: within a lambda an expression would be worked out for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))

@@ -6,11 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, text_of
+from .common import checkpointed, small, table, text_of
 from .components import connected
+from .similar import common, components_of
+from .words import Words, blocks_of, first_of_each, runs, shingle_keys, simhashes, words_of
 
 #: Shingles whose bits are unpacked at a time.
 BLOCK = 1 << 15
@@ -169,26 +172,135 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(labelled, "point").select("doc_id", F.lower(F.lpad(F.hex("point"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def cell_links(points: DataFrame, count: int, radius: int, sample: int, cell_rows: int) -> DataFrame:
-    """Links (a, b) of points within radius, found cell by cell."""
+def cell_links(points: DataFrame, count: int, radius: int, sample: int = 20_000, cell_rows: int = 20_000) -> DataFrame:
+    """Links (a, b) of points within radius, found cell by cell.
+
+    A cell that hardly parts, a crowd of close points, isn't taken whole: each of its points looks at all points one bit
+    away, and two points within two bits of each other meet at one of these places, where at most 65 points can meet.
+    Such places are dealt out one by one. For a radius over 2 crowds are taken whole.
+    """
     share = min(1.0, sample / count)
     drawn = points.where(F.pmod(F.xxhash64("point"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))) if share < 1 else points
     leaf = max(16, int(cell_rows * share))
     drawn = np.sort(np.array([r.point for r in drawn.collect()], np.int64)).view(np.uint64)
     nodes = tree(drawn, radius, leaf)
+    _, own = cells(drawn, nodes, radius)
+    cell, rows = np.unique(own, return_counts=True)
+    crowds = cell[rows > 2 * leaf] if radius in (1, 2) else cell[:0]
+    turns = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             own = batch["point"].to_numpy(np.int64).view(np.uint64)
-            at, cell = cells(own, nodes, radius)
-            yield pd.DataFrame({"cell": cell, "point": signed(own[at])})
+            for first in range(0, len(own), 1000):
+                part = own[first : first + 1000]
+                at, cell = cells(part, nodes, radius)
+                crowded = np.isin(cell, crowds)
+                yield pd.DataFrame({"cell": cell[~crowded], "place": np.int64(0), "point": signed(part[at[~crowded]])})
+                inside = part[np.unique(at[crowded])]
+                places = np.concatenate([inside, (inside[:, None] ^ turns).ravel()])
+                yield pd.DataFrame({"cell": np.int64(-1), "place": signed(places), "point": signed(np.concatenate([inside, np.repeat(inside, 64)]))})
 
     def linked(batch: pd.DataFrame) -> pd.DataFrame:
         a, b = links(batch["point"].to_numpy(np.int64).view(np.uint64), radius)
         return pd.DataFrame({"a": signed(a), "b": signed(b)})
 
-    dealt = points.mapInPandas(deal, "cell long, point long")
-    return dealt.groupBy("cell").applyInPandas(linked, "a long, b long")
+    dealt = points.mapInPandas(deal, "cell long, place long, point long")
+    if not len(crowds):
+        return dealt.groupBy("cell").applyInPandas(linked, "a long, b long")
+    dealt = checkpointed(dealt)
+    ordinary = dealt.where("cell >= 0").groupBy("cell").applyInPandas(linked, "a long, b long")
+    met = dealt.where("cell < 0").groupBy("place").agg(F.collect_set("point").alias("met")).where(F.size("met") > 1)  # 65 points at most
+    pairs = met.select("met", F.array_min("met").alias("a"), F.col("place"))
+    if radius == 1:  # only a point at the place itself is within one bit of all others there
+        pairs = met.where(F.array_contains("met", F.col("place"))).select("met", F.col("place").alias("a"))
+    around = pairs.select("a", F.explode("met").alias("b")).where("a <> b")
+    return ordinary.unionByName(around.distinct())
+
+
+def words_key(text: F.Column) -> F.Column:
+    """Two hashes (k1, k2) of the sequence of the text's words in lower case, both 0 if there are none."""
+
+    @F.pandas_udf("k1 long, k2 long")
+    def key(texts: pd.Series) -> pd.DataFrame:
+        blobs = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+        parts = [described(words, begin)[:2] for words, begin in word_blocks(blobs)]
+        return pd.DataFrame(np.concatenate([np.stack(p, axis=1) for p in parts] or [np.zeros((0, 2), np.int64)]), columns=["k1", "k2"])
+
+    return key(text)
+
+
+def word_blocks(blobs: list[bytes]) -> Iterator[tuple[Words, np.ndarray]]:
+    """The words of texts, block by block, and where in them each text begins and the last one ends."""
+    for first, last in blocks_of([len(b) for b in blobs]):
+        # line breaks part texts only
+        words = words_of(b"\n".join(b.replace(b"\n", b" ") for b in blobs[first:last]), letters=False)
+        yield words, np.searchsorted(words.line, np.arange(last - first + 1))
+
+
+def described(words: Words, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(k1, k2, first word, number of words) of each text."""
+    starts, ends = begin[:-1], begin[1:]
+    keys = [np.where(ends > starts, runs(h, starts, ends).view(np.int64), 0) for h in (words.hashes, words.hashes * np.uint64(0x94D049BB133111EB) + np.uint64(1))]
+    return *keys, starts, ends - starts
+
+
+def near_copies(docs: DataFrame, text_col: str = "text", similarity: float = 0.8, words: int = 5, radius: int = 2) -> DataFrame | None:
+    """(k1, k2, component) of the texts that are not by themselves: words_key of a text, and its group; None if there are none.
+
+    Texts are linked whose shingles of words words (of a shorter text the one of all its words) have a Jaccard
+    similarity of so much or more; a group is what links connect. Fingerprints of the shingles and vantage-point trees find
+    most pairs; as no radius that leaves cells holds all pairs of that similarity, an exact search follows: two such
+    texts share one of the first n - ceil(similarity * n) + 1 of their n shingles in one order of all. All pairs are verified
+    by their shingles, those of fingerprints too. Texts with the same words are one; texts without words are compared with none.
+    """
+
+    def arrays(batches: Iterator[pa.RecordBatch], marks: np.ndarray | None, prefix: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = [t.lower().encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+            for part, begin in word_blocks(blobs):
+                k1, k2, starts, counts = described(part, begin)
+                every, own = shingle_keys(part, starts, counts, words, marks)
+                keys, run = first_of_each(every, own)
+                n = np.bincount(run, minlength=len(counts))
+                held = np.bincount(own, minlength=len(counts))
+                full = np.flatnonzero(held)
+                point = np.zeros(len(counts), np.int64)
+                point[full] = simhashes(every * np.uint64(0x9E3779B97F4A7C15) ^ every >> np.uint64(31), (np.cumsum(held) - held)[full], held[full]).view(np.int64)
+                if prefix:
+                    keys, run = first_of_each(keys, run, n - np.ceil(n * similarity - 1e-9).astype(np.int64) + 1)
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(run, minlength=len(counts)))]).astype(np.int32)
+                shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(point), pa.array(n.astype(np.int32)), shingles], names=["k1", "k2", "point", "n", "shingles"])
+
+    schema = "k1 long, k2 long, point long, n int, shingles array<long>"
+    texts = docs.select(text_of(text_col).alias("text"))
+    marks = common(texts, lambda some: some.mapInArrow(lambda b: arrays(b, None, False), schema).select(F.explode("shingles").alias("s")))
+    described_texts = texts.mapInArrow(lambda b: arrays(b, marks, True), schema).where("n > 0")
+    known = described_texts.groupBy("k1", "k2").agg(*(F.first(c).alias(c) for c in ("point", "n", "shingles")))
+    known = checkpointed(known.withColumn("node", F.monotonically_increasing_id()))
+
+    def holds(pairs: DataFrame) -> DataFrame:
+        wanted = small(known.join(small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node").select("k1", "k2", "node"))
+        held = texts.withColumn("key", words_key(F.col("text"))).join(wanted, (F.col("key.k1") == F.col("k1")) & (F.col("key.k2") == F.col("k2")))
+        own = held.dropDuplicates(["node"]).select("text").mapInArrow(lambda b: arrays(b, marks, False), schema)
+        own = checkpointed(own.join(wanted, ["k1", "k2"]).select("node", "n", "shingles"))
+        sides = [own.select(F.col("node").alias(a), F.col("n").alias(n), F.col("shingles").alias(x)) for a, n, x in (("a", "m", "x"), ("b", "n", "y"))]
+        both = pairs.join(sides[0], "a").join(sides[1], "b").where(F.least("m", "n") >= F.greatest("m", "n") * similarity - 1e-9)
+        shared = F.size(F.array_intersect("x", "y"))
+        return both.where(shared >= (F.col("m") + F.col("n") - shared) * similarity - 1e-9).select("a", "b")
+
+    points = checkpointed(known.groupBy("point").agg(F.min("node").alias("first")))
+    if not (count := points.count()):
+        return None
+    close = cell_links(points.select("point"), count, radius)
+    first = points.select(F.col("point").alias("p"), "first")
+    ends = close.join(first.select(F.col("p").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("p").alias("b"), F.col("first").alias("y")), "b")
+    same = known.join(points, "point").where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    pairs = checkpointed(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(same).distinct())
+    buckets = known.select("node", F.explode("shingles").alias("bucket"))
+    groups = components_of(buckets, holds, holds(pairs))
+    return None if groups is None else known.select("k1", "k2", "node").join(small(groups), "node").select("k1", "k2", "component")
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
