@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import base64
-import bisect
 import zlib
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -17,35 +16,59 @@ from .common import checkpointed, small, table, text_of
 
 #: The id behind each document.
 END = 0
-TOKENIZER = "byte_bpe_50k.tiktoken"
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SPECIAL = {"<|endoftext|>": 50256}
+#: Pieces of a capacity / TINY or less go in bundles of equal ones, of a quarter of the capacity at most.
+TINY = 64
 
 
 @cache
-def encoder(path: str):
-    """The tokenizer over the vocabulary at path. It gives the ids of the tokenizers library, as the tests hold, in a fifth of the time."""
+def encoder(ranks: str, full: str) -> Callable[[str], list[int]]:
+    """text -> ids of the tokenizers library's file `full`.
+
+    The same vocabulary, ranks, is read by tiktoken, which gives the same ids in a fifth of the time, as the tests hold. Where it gives
+    up, on a very long run of white space, the library itself is asked.
+    """
     import public_tokenizers
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    with open(ranks, "rb") as lines:
+        by_token = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    quick = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=by_token, special_tokens=SPECIAL)
+
+    def encode(text: str) -> list[int]:
+        try:
+            return quick.encode(text, allowed_special="all")
+        except ValueError:
+            return library(full).encode(text, add_special_tokens=False).ids
+
+    return encode
+
+
+@cache
+def library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each document's ids, cut where there are more than capacity; the first piece is the one that may be shorter."""
-    if path is None:
-        import public_tokenizers
+    """doc_id, piece, start, length, ids_crc32 of each document's ids, cut where there are more than capacity; the first piece is the one that may be shorter.
+
+    Null and empty texts are one piece of one id. Rows are cut one by one, so repeated ones each have their pieces; other columns are ignored.
+    path names another file of the tokenizers library.
+    """
+    import public_tokenizers
 
-        path = public_tokenizers.path(TOKENIZER)
+    full, ranks = path or public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS)
 
     @F.pandas_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoder(path).encode
+        encode = encoder(ranks, full) if path is None else lambda t: library(full).encode(t, add_special_tokens=False).ids
         for texts in batches:
             out = []
             for text in texts:
-                ids = np.array([*encode(text, allowed_special="all"), END], "<u4")
+                ids = np.array([*encode(text), END], "<u4")
                 rest = len(ids) % capacity
                 edges = [0, *range(rest or capacity, len(ids) + 1, capacity)]
                 out.append([{"piece": n, "start": a, "length": b - a, "ids_crc32": zlib.crc32(ids[a:b].tobytes())} for n, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
@@ -54,86 +77,120 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048, id_co
     return docs.select(F.col(id_col).alias("doc_id"), F.explode(cut(text_of(text_col))).alias("p")).select("doc_id", "p.*")
 
 
-def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs (size, first rank, rows, first sequence, offset): best fit in supersteps, the largest documents first.
+def bundled(rows: DataFrame, counts: dict[int, int], capacity: int) -> tuple[DataFrame, DataFrame]:
+    """(items, members) of rows (id, size, rank): tiny rows of one size go in bundles of powers of two, the others are items by themselves.
 
-    Each superstep takes the documents of one size, in the order of their ranks, and the gaps in their order, and matches them to the
-    successor of their size among the gaps; the k-th document takes the k-th of the equal gaps, so that no two want
-    one. What finds no gap opens sequences. Then the gaps are updated and the next step follows.
-    Documents of a size and gaps of a size are each one run, so a step costs as much as there are sizes, not rows.
+    So a sequence isn't filled by hundreds of supersteps of one tiny row each. members: id, item, at (place in the item).
+    """
+    spark = rows.sparkSession
+    cuts = []
+    for size, n in counts.items():
+        if size * TINY <= capacity:
+            most = 1 << ((capacity // 4) // size).bit_length() - 1
+            rest, own = n % most, [n - n % most]
+            while rest:  # what is left goes in smaller powers of two
+                own.append(own[-1] + (1 << rest.bit_length() - 1))
+                rest -= 1 << rest.bit_length() - 1
+            cuts.append((size, most, own))
+    if not cuts:
+        return rows.select("id", "size"), rows.select("id", F.col("id").alias("item"), F.lit(0).cast("long").alias("at"))
+    own = F.broadcast(spark.createDataFrame(cuts, "size long, most long, cuts array<long>"))  # capacity / TINY rows at most
+    start = F.when(F.col("rank") < F.col("cuts")[0], F.col("rank") - F.col("rank") % F.col("most")).otherwise(F.array_max(F.filter("cuts", lambda c: c <= F.col("rank"))))
+    placed = rows.join(own, "size", "left").withColumn("start", start)
+    # the items of rows have numbers from 0 on, those of bundles lie below
+    item = F.when(F.col("start").isNull(), F.col("id")).otherwise(-F.col("size") * (1 << 48) - F.col("start") - 1)
+    members = checkpointed(placed.select("id", "size", item.alias("item"), F.coalesce((F.col("rank") - F.col("start")) * F.col("size"), F.lit(0)).alias("at")))
+    alone = members.where("item >= 0").select(F.col("item").alias("id"), "size")
+    together = members.where("item < 0").groupBy(F.col("item").alias("id")).agg(F.sum("size").alias("size"))
+    return alone.unionByName(together), members.select("id", "item", "at")
+
+
+def ranked(state: DataFrame, groups: int) -> tuple[DataFrame, dict[tuple[bool, int], int]]:
+    """state (kind, id, size) with rank, from 0 within its kind and size; and how many rows each kind and size has.
+
+    Rows of a size are counted in groups, so that no size has to fit a task.
+    """
+    own = state.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(groups)))
+    counts = checkpointed(own.groupBy("kind", "size", "part").count())
+    totals = {(r.kind, r.size): r.n for r in counts.groupBy("kind", "size").agg(F.sum("count").alias("n")).collect()}  # one row a size
+    before = Window.partitionBy("kind", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("kind", "size", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("kind", "size", "part").orderBy("id")) - 1
+    return own.withColumn("within", within).join(small(starts), ["kind", "size", "part"]).withColumn("rank", F.col("start") + F.col("within")).drop("part", "start", "within"), totals
+
+
+def superstep(state: DataFrame, capacity: int, groups: int) -> DataFrame:
+    """One sweep over documents and gaps, sorted by size: id, size, kind, and what came of it (got, got_size; opened).
+
+    state has rows (kind, id, size): documents (kind false) and gaps of sequences (true). The sizes in order are read as
+    brackets, a document opening one and a gap closing the last one still open: so each gap gets its largest successor
+    below it that no smaller gap has taken. A row's depth follows from its rank and the number of rows of each size;
+    those of one depth, one pair for each size at most, meet in a window. Documents larger than any gap open as many
+    sequences as their tokens fill, the largest first.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    order: list[int] = []  # sizes of gaps, ascending
-    runs, opened = [], 0
-
-    def leave(gap: int, first: int, rows: int) -> None:
-        if gap:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(order, gap)
-            gaps[gap].append((first, rows))
-
-    for size in sorted(counts, reverse=True):
-        rank, left = 0, counts[size]
-        while left:
-            at = bisect.bisect_left(order, size)
-            if at == len(order):
-                # a new sequence takes as many documents of this size as fit, since its own gap is the successor
-                per = capacity // size
-                for rows, deep in ((left // per, per), (1, left % per)):
-                    if rows and deep:
-                        for layer in range(deep):
-                            runs.append((size, rank, rows, opened, layer * size))
-                            rank += rows
-                        leave(capacity - deep * size, opened, rows)
-                        opened += rows
-                left = 0
-                continue
-            gap = order[at]
-            first, rows = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap]
-                del order[at]
-            n = min(rows, left)
-            runs.append((size, rank, n, first, capacity - gap))
-            rank, left = rank + n, left - n
-            leave(gap - size, first, n)
-            if n < rows:
-                leave(gap, first + n, rows - n)
-    return runs
+    rows, totals = ranked(state, groups)
+    largest = max((size for kind, size in totals if kind), default=0)
+    above = {size: n for (kind, size), n in totals.items() if not kind and size > largest}
+    left = -(-sum(size * n for size, n in above.items()) // capacity)
+    opens = {}
+    for size in sorted(above, reverse=True):
+        opens[size] = min(left, above[size])
+        left -= opens[size]
+    depth, table_rows = 0, []
+    for size in range(1, capacity + 1):
+        docs, gaps = totals.get((False, size), 0), totals.get((True, size), 0)
+        if docs:
+            table_rows.append((False, size, depth, opens.get(size, 0)))
+        if gaps:
+            table_rows.append((True, size, depth + docs, 0))
+        depth = max(0, depth + docs - gaps)
+    spark = state.sparkSession
+    known = F.broadcast(spark.createDataFrame(table_rows, "kind boolean, size long, depth long, opens long"))  # 2 * capacity rows at most
+    rows = rows.join(known, ["kind", "size"])
+    level = F.when(F.col("kind"), F.col("depth") - F.col("rank")).otherwise(F.col("depth") + F.col("rank") + 1)
+    rows = rows.select("kind", "id", "size", level.alias("level"), (~F.col("kind") & (F.col("rank") < F.col("opens"))).alias("opened"))
+    nothing = [F.lit(None).cast("long").alias(c) for c in ("got", "got_size", "after")]
+    idle = rows.where("opened OR level <= 0").select("kind", "id", "size", "opened", *nothing)
+    along = Window.partitionBy("level").orderBy("size", "kind")
+    met = rows.where("NOT opened AND level > 0")
+    taken = met.select("kind", "id", "size", "opened", F.lag("id").over(along).alias("got"), F.lag("size").over(along).alias("got_size"), F.lead("id").over(along).alias("after"))
+    return checkpointed(idle.unionByName(taken))
 
 
 def packed(parts: DataFrame, capacity: int = 2048, rows_per_group: int = 100_000) -> DataFrame:
     """parts (with length) and the sequence_id and offset of each, at most capacity to a sequence and no holes in it.
 
-    Documents are ranked within their size, in groups whose starts come from their counts, so no size has to fit
-    a task. The supersteps of sweep() match sizes with gaps: what they take in is a table of at most capacity counts. Each
-    document then finds its place by its size and rank in the runs, of which there are some times capacity at most.
+    Supersteps follow each other until every document has its place: all documents and gaps are sorted by size and swept for
+    successors at once, each gap gets one document at most, and the gaps are updated. Only the number of rows of each size, so
+    2 * capacity numbers at most, reaches the driver. Tiny documents go in bundles first.
 
-    Lengths of 1 to capacity are taken; null or other lengths have no place and fail. An empty table gives no rows. Repeated rows each have a
-    place. Columns of parts are kept.
+    Lengths of 1 to capacity are taken; null or other lengths have no place and fail. An empty table gives no rows.
+    Repeated rows each have a place. Columns of parts are kept, but for earlier ones named sequence_id and offset, which are replaced.
     """
-    rows = checkpointed(parts.withColumn("_row", F.monotonically_increasing_id()))
-    groups = max(16, rows.count() // rows_per_group)
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(groups)))
-    sizes = checkpointed(rows.groupBy("length", "_part").count())
-    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("length", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    counts = {r["length"]: r.n for r in sizes.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # one row a size
-    if any(n is None or not 0 < n <= capacity for n in counts):
+    names = [c for c in parts.columns if c not in ("sequence_id", "offset")]
+    rows = checkpointed(parts.select(F.struct(*names).alias("row"), F.col("length").cast("long").alias("size"), F.monotonically_increasing_id().alias("id")))
+    seen = rows.agg(F.count("*").alias("n"), F.count_if((F.col("size") > 0) & (F.col("size") <= capacity)).alias("fit")).first()
+    if seen.n > seen.fit:
         raise ValueError(f"lengths of 1 to {capacity} can be packed")
-    by_size: dict[int, list[dict]] = {}
-    for size, rank, n, first, offset in sweep(counts, capacity):
-        by_size.setdefault(size, []).append({"rank": rank, "rows": n, "first": first, "offset": offset})
-    spark = parts.sparkSession
-    runs = spark.createDataFrame(
-        [(s, r["rank"], r["rows"], r["first"], r["offset"]) for s, own in by_size.items() for r in own], "length long, _from long, _rows long, _first long, offset long"
-    )
-    within = F.row_number().over(Window.partitionBy("length", "_part").orderBy("_row")) - 1
-    ranked = rows.withColumn("_within", within).join(small(starts), ["length", "_part"]).withColumn("_rank", F.col("_start") + F.col("_within"))
-    own = (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_from") + F.col("_rows"))
-    placed = ranked.join(F.broadcast(runs.withColumnRenamed("length", "_length")), (F.col("length") == F.col("_length")) & own)
-    return placed.select(*parts.columns, (F.col("_first") + F.col("_rank") - F.col("_from")).alias("sequence_id"), F.col("offset"))
+    groups = max(16, seen.n // rows_per_group)
+    numbered, totals = ranked(rows.select(F.lit(False).alias("kind"), "id", "size"), groups)
+    items, members = bundled(numbered.select("id", "size", "rank"), {size: n for (_, size), n in totals.items()}, capacity)
+    state = checkpointed(items.select(F.lit(False).alias("kind"), "id", "size"))
+    placed = []
+    while state.where("NOT kind").limit(1).count():
+        step = superstep(state, capacity, groups)
+        matched = step.where("kind AND got IS NOT NULL")
+        opened = step.where("opened")
+        placed.append(matched.select(F.col("got").alias("item"), F.col("id").alias("sequence_id"), (capacity - F.col("size")).alias("start")))
+        placed.append(opened.select(F.col("id").alias("item"), F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("start")))
+        waiting = step.where("NOT kind AND NOT opened AND after IS NULL").select("kind", "id", "size")
+        gaps = step.where("kind").select("kind", "id", (F.col("size") - F.coalesce("got_size", F.lit(0))).alias("size"))
+        gaps = gaps.unionByName(opened.select(F.lit(True).alias("kind"), "id", (capacity - F.col("size")).alias("size"))).where("size > 0")
+        state = waiting.unionByName(gaps)
+    if not placed:
+        return rows.select("row.*", F.col("id").alias("sequence_id"), F.col("id").alias("offset")).limit(0)
+    place = members.join(checkpointed(reduce(DataFrame.unionByName, placed)), "item").select("id", "sequence_id", (F.col("start") + F.col("at")).alias("offset"))
+    return rows.join(place, "id").select("row.*", "sequence_id", "offset")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
