@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small, table, text_of
+from .common import BROADCAST_ROWS, checkpointed, small, table, text_of
 
 ENTRIES = "entry string, action string, since timestamp"
 #: The dated list of the query op6, as fixed values: block, allow, or drop (from then on the entry no longer counts).
@@ -17,11 +17,12 @@ LIST = [
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """entry, action, since, until: each action of an entry holds until its next one. Of actions at one time block goes before allow before drop."""
+    """entry (in lower case), action, since, until: each action of an entry holds until its next one. Of actions at one time block goes before allow before drop."""
+    entries = entries.withColumn("entry", F.lower("entry"))
     rank = F.when(F.col("action") == "block", 0).when(F.col("action") == "allow", 1).otherwise(2)
     own = entries.where("entry IS NOT NULL AND since IS NOT NULL").groupBy("entry", "since").agg(F.min_by("action", rank).alias("action"))
     until = F.lead("since").over(Window.partitionBy("entry").orderBy("since"))
-    return own.withColumn("until", until).where("action <> 'drop'").withColumn("entry", F.lower("entry"))
+    return own.withColumn("until", until).where("action <> 'drop'")
 
 
 def judged(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
@@ -29,15 +30,19 @@ def judged(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_c
 
     An entry is a host, which holds for its subdomains, or a host and the first part of a path. A capture has a key for each
     host above its own, with and without the first part of its path; an as-of join finds the intervals of these keys that
-    hold its fetch time, from since on and before until. The longest entry decides, of equally long ones the one first by name. Distinct (url, time)
-    are judged once, so a hot host's copies don't meet in a task; the list is broadcast if a count shows it is small, or else
-    shuffled by entry.
+    hold its fetch time, from since on and before until. The longest entry decides, of equally long ones the one first by name. If a
+    count shows that the list is small it is broadcast, and only what it hits is shuffled, the best entry of equal
+    captures being found before that. A large list is joined by entry; then distinct (url, time) are judged once, so a hot
+    host's copies don't meet in a task.
 
     A null or empty url, one without a host, and a null time have the verdict none. Repeated captures each keep a row; empty tables are
     taken. Other columns are kept; those of these names are replaced.
     """
     rows = captures.drop("verdict", "listed_entry", "listed_since")
-    distinct = rows.select(F.col(url_col).alias("_url"), F.col(time_col).alias("_time")).where("_url IS NOT NULL AND _time IS NOT NULL").distinct()
+    timed = rows.select(F.col(url_col).alias("_url"), F.col(time_col).alias("_time")).where("_url IS NOT NULL AND _time IS NOT NULL")
+    listed = checkpointed(intervals(entries))
+    few = listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    distinct = timed if few else timed.distinct()
     host = F.lower(F.regexp_extract(text_of("_url"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     path = F.regexp_extract("_url", r"^[^:]+://[^/?#]+/([^/?#]+)", 1)
     labels = F.split(host, r"\.")
@@ -45,7 +50,7 @@ def judged(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_c
     keys = F.when(path != "", F.concat(above, F.transform(above, lambda h: F.concat(h, F.lit("/"), F.lower(path))))).otherwise(above)
     keyed = distinct.select("_url", "_time", F.explode(F.when(host != "", keys)).alias("entry"))
     valid = (F.col("_time") >= F.col("since")) & (F.col("until").isNull() | (F.col("_time") < F.col("until")))
-    hits = keyed.join(small(intervals(entries)), "entry").where(valid)
+    hits = keyed.join(F.broadcast(listed) if few else listed, "entry").where(valid)
     first = F.min(F.struct((-F.length("entry")).alias("l"), "entry", "since", "action")).alias("b")
     best = hits.groupBy("_url", "_time").agg(first).select("_url", "_time", F.col("b.action").alias("verdict"), F.col("b.entry").alias("listed_entry"), F.col("b.since").alias("listed_since"))
     joined = rows.join(small(best), (F.col(url_col) == F.col("_url")) & (F.col(time_col) == F.col("_time")), "left").drop("_url", "_time")
