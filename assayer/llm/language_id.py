@@ -25,8 +25,8 @@ SCRIPT_NAMES = ["other", *dict.fromkeys(name for name, _, _ in SCRIPTS)]
 BUCKETS = 1 << 15
 #: Characters scored at a time, which bounds the memory whatever the length of a text.
 BLOCK = 1 << 20
-#: What a word loses in a language that isn't written in its script.
-FOREIGN = 30.0
+#: The score of a word in a language that isn't written in its script: far below what any change of language costs.
+FOREIGN = -1e6
 
 
 @cache
@@ -78,7 +78,7 @@ class Model:
                 continue
             score = np.add.reduceat(self.grams[bucket], first, axis=0)
             fits = self.written[script]
-            score -= np.where(fits.any(axis=1)[:, None] & ~fits, np.float32(FOREIGN), np.float32(0))
+            score[fits.any(axis=1)[:, None] & ~fits] = FOREIGN
             parts.append((score, place, np.diff(first, append=len(bucket))))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
