@@ -11,14 +11,19 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, table, text_of
 from .language_id import held_out
+from .words import cleaned, words_of
 
 FEATURES = ["upper", "symbols", "marks", "digits", "high", "distinct", "lines", "repeats", "word", "spread", "odd", "pipes", "length", "line_length", "twice", "crossed"]
+#: Besides the form, the share of a text's words in each of so many groups of words, by hash.
+WORD_GROUPS = 64
+FEATURES += [f"words{n}" for n in range(WORD_GROUPS)]
 #: The score at which a document counts as good.
 CUT = 0.3
 
 
 def features(text: str) -> list[float]:
-    """Numbers that describe the form of a whole text."""
+    """Numbers that describe the form and the words of a whole text."""
+    group = np.bincount((words_of(cleaned(text)).hashes >> np.uint64(58)).astype(np.int64), minlength=WORD_GROUPS)
     raw = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
     total = max(1, int(raw.sum()))
     upper, lower, digits = int(raw[65:91].sum()), int(raw[97:123].sum()), int(raw[48:58].sum())
@@ -33,6 +38,7 @@ def features(text: str) -> list[float]:
         len(set(words)) / n, len(set(lines)) / max(1, len(lines)), 1 - len(pairs) / max(1, len(words) - 2), float(sizes.mean()) / 10, float(sizes.std()) / 10,
         odd / n, int(raw[124]) / n, float(np.log1p(len(words))) / 10, float(np.log1p(total / max(1, len(lines)))) / 10,
         float(upper / max(1, upper + lower) > 0.3), (1 - len(set(words)) / n) * float(np.log1p(len(words))) / 10,
+        *(group / max(1, int(group.sum()))).tolist(),
     ]
 
 
@@ -89,23 +95,26 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     described by their whole text in one pass; the ranking is a dot product over that. A score is the logistic function of the strength,
     moved so that the quantile cut lies at 0.3.
 
-    Null texts count as empty and have a score. Labels without a document or a quality are left out; where good or bad
-    ones are missing altogether every score is 0.5. Repeated rows each have a row, an empty table none.
+    Null texts count as empty and have a score. Labels without a document or a quality are left out, of several labels of a
+    document the best counts, and of several documents of a label the one with the least features; where good or bad
+    ones are missing altogether every score is 0.5. Equal texts have equal scores, long ones are read whole. Repeated rows
+    each have a row, an empty table none. Other columns are ignored.
     """
-    seen = checkpointed(described(docs.withColumnRenamed(id_col, "doc_id"), "doc_id", text_col))
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
+    seen = checkpointed(described(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = checkpointed(known)
     share = min(1.0, rows / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    learned = seen.join(F.broadcast(drawn), "doc_id").select("x", "quality").collect()  # a bounded sample
+    learned = seen.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).collect()  # a bounded sample
+    learned.sort(key=lambda r: (r.x, r.quality, str(r.doc_id)))  # so that a second run learns the same
     part = {q: np.array([r.x for r in learned if r.quality == q], float).reshape(-1, len(FEATURES)) for q in (0, 1)}
     ranking = fit(part[1], part[0])
     if ranking is None:
         score = F.lit(0.5)
     else:
-        strength = F.lit(-ranking.cut + float(np.log(CUT / (1 - CUT))))
-        for n, (mean, scale, weight) in enumerate(zip(ranking.mean, ranking.scale, ranking.weights, strict=True)):
-            z = (F.col("x")[n] - F.lit(float(mean))) / F.lit(float(scale))
-            strength = strength + F.greatest(F.lit(-6.0), F.least(F.lit(6.0), z)) * F.lit(float(weight))
+        mean, scale, weights = (F.lit(v.tolist()).cast("array<double>") for v in (ranking.mean, ranking.scale, ranking.weights))
+        z = F.transform("x", lambda v, i: F.greatest(F.lit(-6.0), F.least(F.lit(6.0), (v - F.get(mean, i)) / F.get(scale, i))) * F.get(weights, i))
+        strength = F.aggregate(z, F.lit(-ranking.cut + float(np.log(CUT / (1 - CUT)))), lambda a, v: a + v)
         score = F.lit(1.0) / (F.lit(1.0) + F.exp(-strength))
     return seen.select("doc_id", score.alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
