@@ -299,7 +299,9 @@ def near_copies(docs: DataFrame, text_col: str = "text", similarity: float = 0.8
     same = known.join(points, "point").where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b"))
     pairs = checkpointed(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(same).distinct())
     buckets = known.select("node", F.explode("shingles").alias("bucket"))
-    groups = components_of(buckets, holds, holds(pairs))
+    traits = known.select("node", F.struct("n").alias("t"))
+    sizes = lambda t, u: F.least(t["n"], u["n"]) >= F.greatest(t["n"], u["n"]) * similarity - 1e-9
+    groups = components_of(buckets, holds, traits, sizes, holds(pairs))
     return None if groups is None else known.select("k1", "k2", "node").join(small(groups), "node").select("k1", "k2", "component")
 
 
