@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .operators import coverage, findings, hotspots
+from .operators import changes, coverage, findings, graphs, hotspots, paths, rollups, scanners
 
-QUERIES: dict = {**hotspots.QUERIES, **findings.QUERIES, **coverage.QUERIES}
-ORACLES: dict[str, str] = {**hotspots.ORACLES, **findings.ORACLES, **coverage.ORACLES}
+_MODULES = (hotspots, findings, coverage, scanners, paths, rollups, changes, graphs)
+QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import checkpointed
 from ..plans.views import table, view, with_views
 
 #: Severities of scanners from the worst on, the rows a report shows, audit classes, prices a million tokens.
@@ -75,15 +76,10 @@ def usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """Every node that leads to the start nodes, those included: semi-naive steps, the reached set written at each."""
-    from tempfile import mkdtemp
-
-    context = edges.sparkSession.sparkContext
-    if not (edges.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        context.setCheckpointDir(mkdtemp(prefix="checkpoint-"))  # local tests only
     back = edges.select(F.col("dst").alias("node"), "src").distinct()
-    reached = fresh = start.select("node").distinct().checkpoint()
+    reached = fresh = checkpointed(start.select("node").distinct())
     while fresh.limit(1).count():
-        fresh = back.join(fresh, "node").select(F.col("src").alias("node")).distinct().join(reached, "node", "left_anti").checkpoint()
+        fresh = checkpointed(back.join(fresh, "node").select(F.col("src").alias("node")).distinct().join(reached, "node", "left_anti"))
         reached = reached.unionByName(fresh)
     return reached
 

@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern that Java and RE2 read alike; unless is a second pattern that must not match."""
+    """A pattern that Java and RE2 read alike; unless is a second pattern that must not match.
+
+    A boundary is written as what may stand there, since \b depends on the letters that an engine knows: Java counts letters
+    with marks as word letters, others don't.
+    """
 
     name: str
     points: int

@@ -71,6 +71,31 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "CAST(event_id % 77 AS BIGINT) AS cache_read",
         ],
     ),
+    "v_hits": (
+        "lineitem",
+        [
+            "CAST(l_orderkey % 499 AS INT) AS report",
+            "l_orderkey * 10 + l_linenumber AS ord",
+            "concat(CASE l_orderkey % 4 WHEN 0 THEN '/work/app/lib/p' WHEN 1 THEN './lib/p' WHEN 2 THEN '/src/lib/p' ELSE 'file:///work/app/lib/p' END, CAST(l_partkey % 50 AS STRING), '.py') AS path",
+            "CASE WHEN l_linenumber = 7 THEN NULL ELSE l_linenumber END AS line",
+            "concat('r', CAST(l_suppkey % 10 AS STRING)) AS rule",
+            "CASE l_orderkey % 7 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'warning' WHEN 2 THEN 'Note' WHEN 3 THEN 'CRITICAL' WHEN 4 THEN 'low' WHEN 5 THEN NULL ELSE 'High' END AS level",
+            "concat('uses `x`  of ', CAST(l_partkey AS STRING), '   twice ') AS message",
+            "CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag END AS extra",
+        ],
+    ),
+    "v_paths": (
+        "part",
+        [
+            "p_partkey AS key",
+            "concat(CASE p_partkey % 16 WHEN 0 THEN 'src/app/(group)/users/[id]/' WHEN 1 THEN 'apps/web/tests/' WHEN 2 THEN 'db/migrations/' WHEN 3 THEN 'app/@slot/api/users/' "
+            "WHEN 4 THEN '' WHEN 5 THEN './app/Http/' WHEN 6 THEN 'pages/api/' WHEN 7 THEN 'src/pages/' WHEN 8 THEN 'supabase/migrations/' WHEN 9 THEN 'templates/mail/' "
+            "WHEN 10 THEN 'a b/c/' WHEN 11 THEN '-x/y/' WHEN 12 THEN 'lib/../up/' WHEN 13 THEN '(app/lib/' WHEN 14 THEN 'lib/' ELSE 'lib/deep/er/' END, "
+            "CASE p_partkey % 13 WHEN 0 THEN 'package-lock.json' WHEN 1 THEN 'seed.ts' WHEN 2 THEN 'conftest.py' WHEN 3 THEN 'go.sum' ELSE concat('f', CAST(p_size AS STRING), "
+            "CASE p_partkey % 11 WHEN 0 THEN '.ts' WHEN 1 THEN '.test.tsx' WHEN 2 THEN '.py' WHEN 3 THEN '_test.go' WHEN 4 THEN '.sql' WHEN 5 THEN '.html' WHEN 6 THEN '.mjs' WHEN 7 THEN '.module' WHEN 8 THEN '.kt' WHEN 9 THEN '.rules' ELSE '.md' END) END) AS path",
+            "CASE p_partkey % 3 WHEN 0 THEN concat('\"Public\".\"', p_name, '\"') WHEN 1 THEN concat('PUBLIC.', p_brand) ELSE p_type END AS ident",
+        ],
+    ),
     "v_edges": ("lineitem", ["CAST(l_partkey % 1500 AS BIGINT) AS src", "CAST(l_suppkey * 31 % 1500 AS BIGINT) AS dst"]),
 }
 
