@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small, table, text_of
+from .common import BROADCAST_ROWS, checkpointed, table, text_of
 
 #: The id behind each document.
 END = 0
@@ -20,6 +20,8 @@ TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SPECIAL = {"<|endoftext|>": 50256}
 #: Pieces of a capacity / TINY or less go in bundles of equal ones, of a quarter of the capacity at most.
 TINY = 64
+#: So many of the waiting documents, or more, have to fit a sequence for them to be dealt out by rank.
+DEALT = 8
 
 
 @cache
@@ -116,45 +118,57 @@ def ranked(state: DataFrame, groups: int) -> tuple[DataFrame, dict[tuple[bool, i
     before = Window.partitionBy("kind", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("kind", "size", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     within = F.row_number().over(Window.partitionBy("kind", "size", "part").orderBy("id")) - 1
-    return own.withColumn("within", within).join(small(starts), ["kind", "size", "part"]).withColumn("rank", F.col("start") + F.col("within")).drop("part", "start", "within"), totals
+    starts = F.broadcast(starts) if len(totals) * groups <= BROADCAST_ROWS else starts
+    return own.withColumn("within", within).join(starts, ["kind", "size", "part"]).withColumn("rank", F.col("start") + F.col("within")).drop("part", "start", "within"), totals
 
 
-def superstep(state: DataFrame, capacity: int, groups: int) -> DataFrame:
-    """One sweep over documents and gaps, sorted by size: id, size, kind, and what came of it (got, got_size; opened).
+def superstep(rows: DataFrame, totals: dict[tuple[bool, int], int], capacity: int) -> DataFrame:
+    """One sweep over documents and gaps, sorted by size: what became of each of rows (kind, id, size, rank), false being a document.
 
-    state has rows (kind, id, size): documents (kind false) and gaps of sequences (true). The sizes in order are read as
-    brackets, a document opening one and a gap closing the last one still open: so each gap gets its largest successor
-    below it that no smaller gap has taken. A row's depth follows from its rank and the number of rows of each size;
-    those of one depth, one pair for each size at most, meet in a window. Documents larger than any gap open as many
-    sequences as their tokens fill, the largest first.
+    The sizes in order are read as brackets, a document opening one and a gap closing the last one still open: so each
+    gap gets its largest successor below it that no smaller gap has taken. A row's depth follows from its rank and the
+    number of rows of each size; those of one depth, one pair for each size at most, meet in a window: gaps have got (id,
+    got_size), documents that a gap has taken are marked.
+
+    Documents larger than any gap open as many sequences as their tokens fill, the largest first, one each (seq, start). If all of
+    them are small, DEALT of which fill a sequence, they are dealt to these sequences by rank, and those that
+    overfill one wait.
     """
-    rows, totals = ranked(state, groups)
     largest = max((size for kind, size in totals if kind), default=0)
     above = {size: n for (kind, size), n in totals.items() if not kind and size > largest}
-    left = -(-sum(size * n for size, n in above.items()) // capacity)
+    new = left = -(-sum(size * n for size, n in above.items()) // capacity)
+    dealt = bool(above) and max(above) * DEALT <= capacity
+    depth, before, known = 0, 0, []
     opens = {}
     for size in sorted(above, reverse=True):
-        opens[size] = min(left, above[size])
-        left -= opens[size]
-    depth, table_rows = 0, []
+        opens[size] = (before, above[size] if dealt else min(left, above[size]))
+        before, left = before + above[size], left - min(left, above[size])
     for size in range(1, capacity + 1):
         docs, gaps = totals.get((False, size), 0), totals.get((True, size), 0)
         if docs:
-            table_rows.append((False, size, depth, opens.get(size, 0)))
+            known.append((False, size, depth, *opens.get(size, (0, 0))))
         if gaps:
-            table_rows.append((True, size, depth + docs, 0))
+            known.append((True, size, depth + docs, 0, 0))
         depth = max(0, depth + docs - gaps)
-    spark = state.sparkSession
-    known = F.broadcast(spark.createDataFrame(table_rows, "kind boolean, size long, depth long, opens long"))  # 2 * capacity rows at most
-    rows = rows.join(known, ["kind", "size"])
+    known = F.broadcast(rows.sparkSession.createDataFrame(known, "kind boolean, size long, depth long, before long, opens long"))  # 2 * capacity rows at most
     level = F.when(F.col("kind"), F.col("depth") - F.col("rank")).otherwise(F.col("depth") + F.col("rank") + 1)
-    rows = rows.select("kind", "id", "size", level.alias("level"), (~F.col("kind") & (F.col("rank") < F.col("opens"))).alias("opened"))
-    nothing = [F.lit(None).cast("long").alias(c) for c in ("got", "got_size", "after")]
-    idle = rows.where("opened OR level <= 0").select("kind", "id", "size", "opened", *nothing)
+    opening = ~F.col("kind") & (F.col("rank") < F.col("opens"))
+    rows = rows.join(known, ["kind", "size"]).select("kind", "id", "size", level.alias("level"), F.when(opening, F.col("before") + F.col("rank")).alias("turn"))
+    none = lambda *names: [F.lit(None).cast("long").alias(c) for c in names]
+    if dealt:
+        along = Window.partitionBy(F.col("turn") % new).orderBy("turn")
+        filled = F.sum("size").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        opened = rows.where("turn IS NOT NULL").select("kind", "id", "size", F.first("id").over(along).alias("seq"), (filled - F.col("size")).alias("start"))
+        fits = F.col("start") + F.col("size") <= capacity
+        opened = opened.select("kind", "id", "size", *none("got", "got_size"), F.lit(False).alias("taken"), *(F.when(fits, F.col(c)).alias(c) for c in ("seq", "start")))
+    else:
+        opened = rows.where("turn IS NOT NULL").select("kind", "id", "size", *none("got", "got_size"), F.lit(False).alias("taken"), F.col("id").alias("seq"), F.lit(0).cast("long").alias("start"))
+    idle = rows.where("turn IS NULL AND level <= 0").select("kind", "id", "size", *none("got", "got_size"), F.lit(False).alias("taken"), *none("seq", "start"))
     along = Window.partitionBy("level").orderBy("size", "kind")
-    met = rows.where("NOT opened AND level > 0")
-    taken = met.select("kind", "id", "size", "opened", F.lag("id").over(along).alias("got"), F.lag("size").over(along).alias("got_size"), F.lead("id").over(along).alias("after"))
-    return checkpointed(idle.unionByName(taken))
+    met = rows.where("turn IS NULL AND level > 0")
+    pair = [F.when(F.col("kind"), F.lag(c).over(along)).alias(n) for c, n in (("id", "got"), ("size", "got_size"))]
+    met = met.select("kind", "id", "size", *pair, (~F.col("kind") & F.lead("id").over(along).isNotNull()).alias("taken"), *none("seq", "start"))
+    return checkpointed(opened.unionByName(idle).unionByName(met))
 
 
 def packed(parts: DataFrame, capacity: int = 2048, rows_per_group: int = 100_000) -> DataFrame:
@@ -175,21 +189,23 @@ def packed(parts: DataFrame, capacity: int = 2048, rows_per_group: int = 100_000
     groups = max(16, seen.n // rows_per_group)
     numbered, totals = ranked(rows.select(F.lit(False).alias("kind"), "id", "size"), groups)
     items, members = bundled(numbered.select("id", "size", "rank"), {size: n for (_, size), n in totals.items()}, capacity)
-    state = checkpointed(items.select(F.lit(False).alias("kind"), "id", "size"))
+    state = items.select(F.lit(False).alias("kind"), "id", "size")
     placed = []
-    while state.where("NOT kind").limit(1).count():
-        step = superstep(state, capacity, groups)
-        matched = step.where("kind AND got IS NOT NULL")
-        opened = step.where("opened")
-        placed.append(matched.select(F.col("got").alias("item"), F.col("id").alias("sequence_id"), (capacity - F.col("size")).alias("start")))
-        placed.append(opened.select(F.col("id").alias("item"), F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("start")))
-        waiting = step.where("NOT kind AND NOT opened AND after IS NULL").select("kind", "id", "size")
+    while True:
+        numbered, totals = ranked(state, groups)
+        if all(kind for kind, _ in totals):
+            break
+        step = superstep(numbered, totals, capacity)
+        opened = step.where("seq IS NOT NULL")
+        placed.append(step.where("got IS NOT NULL").select(F.col("got").alias("item"), F.col("id").alias("sequence_id"), (capacity - F.col("size")).alias("start")))
+        placed.append(opened.select(F.col("id").alias("item"), F.col("seq").alias("sequence_id"), "start"))
+        waiting = step.where("NOT kind AND seq IS NULL AND NOT taken").select("kind", "id", "size")
         gaps = step.where("kind").select("kind", "id", (F.col("size") - F.coalesce("got_size", F.lit(0))).alias("size"))
-        gaps = gaps.unionByName(opened.select(F.lit(True).alias("kind"), "id", (capacity - F.col("size")).alias("size"))).where("size > 0")
-        state = waiting.unionByName(gaps)
+        fresh = opened.groupBy(F.col("seq").alias("id")).agg((capacity - F.sum("size")).alias("size")).select(F.lit(True).alias("kind"), "id", "size")
+        state = waiting.unionByName(gaps).unionByName(fresh).where("size > 0")
     if not placed:
         return rows.select("row.*", F.col("id").alias("sequence_id"), F.col("id").alias("offset")).limit(0)
-    place = members.join(checkpointed(reduce(DataFrame.unionByName, placed)), "item").select("id", "sequence_id", (F.col("start") + F.col("at")).alias("offset"))
+    place = members.join(reduce(DataFrame.unionByName, placed), "item").select("id", "sequence_id", (F.col("start") + F.col("at")).alias("offset"))
     return rows.join(place, "id").select("row.*", "sequence_id", "offset")
 
 
