@@ -210,11 +210,12 @@ def cell_links(points: DataFrame, count: int, radius: int, sample: int = 20_000,
         return dealt.groupBy("cell").applyInPandas(linked, "a long, b long")
     dealt = checkpointed(dealt)
     ordinary = dealt.where("cell >= 0").groupBy("cell").applyInPandas(linked, "a long, b long")
-    met = dealt.where("cell < 0").groupBy("place").agg(F.collect_set("point").alias("met")).where(F.size("met") > 1)  # 65 points at most
-    pairs = met.select("met", F.array_min("met").alias("a"), F.col("place"))
+    around = dealt.where("cell < 0")
+    met = around.groupBy("place").agg(F.min("point").alias("a"), F.max("point").alias("z")).where("a < z").select("place", "a")
+    around = around.join(small(met), "place")
     if radius == 1:  # only a point at the place itself is within one bit of all others there
-        pairs = met.where(F.array_contains("met", F.col("place"))).select("met", F.col("place").alias("a"))
-    around = pairs.select("a", F.explode("met").alias("b")).where("a <> b")
+        around = around.join(points.select(F.col("point").alias("place")), "place", "left_semi").withColumn("a", F.col("place"))
+    around = around.where("a <> point").select("a", F.col("point").alias("b"))
     return ordinary.unionByName(around.distinct())
 
 

@@ -92,3 +92,17 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in got) == want
     assert len({r.component_id for r in got}) < len(texts) - 30
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_crowds_are_dealt_out(spark):
+    rng = random.Random(8)
+    centre = rng.getrandbits(64)
+    crowd = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(5))) for _ in range(400)} | {rng.getrandbits(64) for _ in range(100)}
+    points = np.array(sorted(crowd), np.uint64)
+    frame = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "point long")
+    for radius in (1, 2):
+        got = cell_links(frame, len(points), radius, sample=200, cell_rows=40).toPandas()
+        near = [(i, j) for i in range(len(points)) for j in range(i) if int(points[i] ^ points[j]).bit_count() <= radius]
+        place = {int(p): n for n, p in enumerate(points.view(np.int64))}
+        assert components(len(points), near) == components(len(points), [(place[a], place[b]) for a, b in zip(got.a.tolist(), got.b.tolist())])
+        assert len(near) > 20
