@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.views import table, view, with_views
-from .rules import AREA_CAP, AREAS, SINKS, points, points_sql, reasons, reasons_sql
+from .rules import AREA_CAP, AREAS, SINKS, hits, points, points_sql, reasons, reasons_sql
 
 #: Points of the kinds of entry points.
 KINDS = {"webhook": 2, "server-action": 2, "http-route": 1, "job": 1, "page": 0}
@@ -14,12 +14,9 @@ KINDS = {"webhook": 2, "server-action": 2, "http-route": 1, "job": 1, "page": 0}
 
 def scored(texts: DataFrame, key: str, text_col: str) -> DataFrame:
     """key, score and reasons of each text: capped points of its areas plus the points of what is found in it."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return texts.select(
-        key,
-        (F.least(F.lit(AREA_CAP), points(AREAS, text)) + points(SINKS, text)).alias("score"),
-        reasons(AREAS + SINKS, text).alias("reasons"),
-    )
+    found = texts.select(key, F.explode(F.array(hits(AREAS + SINKS, F.coalesce(F.col(text_col), F.lit(""))))).alias("hits"))
+    score = F.least(F.lit(AREA_CAP), points(AREAS, F.col("hits"))) + points(SINKS, F.col("hits"), len(AREAS))
+    return found.select(key, score.alias("score"), reasons(AREAS + SINKS, F.col("hits")).alias("reasons"))
 
 
 def top(rows: DataFrame, n: int, *order) -> DataFrame:

@@ -35,43 +35,51 @@ def quoted(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
+#: What stands before and behind a word.
+START, END = "(?:^|[^A-Za-z0-9_])", "(?:$|[^A-Za-z0-9_])"
 # Points of areas and of what is found.
 AREAS = [
-    Rule("auth", 3, r"(?i)\b(login|sign-?in|password|session|token)", "auth"),
-    Rule("admin", 3, r"(?i)\badmin", "admin"),
-    Rule("payments", 2, r"(?i)\b(payment|invoice|card|iban)", "payments"),
-    Rule("files", 2, r"(?i)\b(upload|attachment|file)", "files"),
-    Rule("jobs", 1, r"(?i)\b(queue|cron|worker)", "jobs"),
+    Rule("auth", 3, rf"(?i){START}(login|sign-?in|password|session|token)", "auth"),
+    Rule("admin", 3, rf"(?i){START}admin", "admin"),
+    Rule("payments", 2, rf"(?i){START}(payment|invoice|card|iban)", "payments"),
+    Rule("files", 2, rf"(?i){START}(upload|attachment|file)", "files"),
+    Rule("jobs", 1, rf"(?i){START}(queue|cron|worker)", "jobs"),
 ]
 AREA_CAP = 5
 SINKS = [
     Rule("mail", 2, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[a-z]{2,}", "holds an e-mail address"),
-    Rule("address", 2, r"\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b", "holds a network address"),
-    Rule("hex-token", 3, r"\b[0-9a-f]{40}\b", "holds a long hexadecimal token"),
-    Rule("digits", 1, r"\b[0-9]{3}[- ][0-9]{2,3}[- ][0-9]{4}\b", "holds a number with groups"),
-    Rule("licence", 1, r"(?i)\blicen[sc]e\b", "mentions a licence"),
+    Rule("address", 2, rf"{START}[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}{END}", "holds a network address"),
+    Rule("hex-token", 3, rf"{START}[0-9a-f]{{40}}{END}", "holds a long hexadecimal token"),
+    Rule("digits", 1, rf"{START}[0-9]{{3}}[- ][0-9]{{2,3}}[- ][0-9]{{4}}{END}", "holds a number with groups"),
+    Rule("licence", 1, rf"(?i){START}licen[sc]e{END}", "mentions a licence"),
     Rule("script", 2, r"(?i)<script[^>]*>", "holds a script"),
-    Rule("sql-text", 3, r"(?i)\bselect\b[^;]{1,200}\bfrom\b[^;]{1,200}(\+|\$\{|%s|\|\|)", "SQL made of strings"),
-    Rule("process", 3, r"\b(child_process|subprocess|os\.system|shell_exec|proc_open|exec\.Command)\b", "starts a process"),
-    Rule("raw-html", 2, r"\b(innerHTML|dangerouslySetInnerHTML|mark_safe)\b", "writes raw HTML"),
-    Rule("redirect", 2, r"(?i)\bredirect\((req|request|ctx|params|query)", "redirects where the request says"),
-    Rule("loads", 3, r"\b(pickle\.loads?|unserialize|yaml\.load)\(", "reads objects from untrusted bytes", r"SafeLoader"),
-    Rule("tenant", 3, r"(?i)\b(body|query|input)\.(tenant|owner|org)_?id\b", "takes the owner from the request"),
-    Rule("owned-fetch", 3, r"\b(fetch|requests\.get|http\.Get)\([A-Za-z_]", "calls a computed address", r"allowlist|allow_list"),
+    Rule("sql-text", 3, rf"(?i){START}select[^A-Za-z0-9_;](?:[^;]{{0,198}}[^A-Za-z0-9_;])?from[^A-Za-z0-9_;][^;]{{0,199}}(\+|\$\{{|%s|\|\|)", "SQL made of strings"),
+    Rule("process", 3, rf"{START}(child_process|subprocess|os\.system|shell_exec|proc_open|exec\.Command){END}", "starts a process"),
+    Rule("raw-html", 2, rf"{START}(innerHTML|dangerouslySetInnerHTML|mark_safe){END}", "writes raw HTML"),
+    Rule("redirect", 2, rf"(?i){START}redirect\((req|request|ctx|params|query)", "redirects where the request says"),
+    Rule("loads", 3, rf"{START}(pickle\.loads?|unserialize|yaml\.load)\(", "reads objects from untrusted bytes", r"SafeLoader"),
+    Rule("tenant", 3, rf"(?i){START}(body|query|input)\.(tenant|owner|org)_?id{END}", "takes the owner from the request"),
+    Rule("owned-fetch", 3, rf"{START}(fetch|requests\.get|http\.Get)\([A-Za-z_]", "calls a computed address", r"allowlist|allow_list"),
     Rule("shout", 1, r"[A-Z]{4,}!!", "shouts"),
     Rule("symbols", 1, r"[#$%&*]{3}", "runs of symbols"),
 ]
 
 
-def points(rules: list[Rule], text: Column) -> Column:
+def hits(rules: list[Rule], text: Column) -> Column:
+    """Whether each rule holds, as an array; explode it as one row so that no rule is tried again for each use of it."""
+    return F.array(*(rule.column(text) for rule in rules))
+
+
+def points(rules: list[Rule], hits: Column, first: int = 0) -> Column:
+    """The points of the rules, which stand in hits from first on."""
     total = F.lit(0)
-    for rule in rules:
-        total = total + F.when(rule.column(text), rule.points).otherwise(0)
+    for n, rule in enumerate(rules, first):
+        total = total + F.when(hits[n], rule.points).otherwise(0)
     return total
 
 
-def reasons(rules: list[Rule], text: Column) -> Column:
-    return F.concat_ws("; ", *(F.when(rule.column(text), F.lit(rule.reason)) for rule in rules))
+def reasons(rules: list[Rule], hits: Column) -> Column:
+    return F.concat_ws("; ", *(F.when(hits[n], F.lit(rule.reason)) for n, rule in enumerate(rules)))
 
 
 def points_sql(rules: list[Rule], text: str) -> str:
