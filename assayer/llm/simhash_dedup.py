@@ -284,8 +284,8 @@ def near_copies(docs: DataFrame, text_col: str = "text", similarity: float = 0.8
     def holds(pairs: DataFrame) -> DataFrame:
         wanted = small(known.join(small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node").select("k1", "k2", "node"))
         held = texts.withColumn("key", words_key(F.col("text"))).join(wanted, (F.col("key.k1") == F.col("k1")) & (F.col("key.k2") == F.col("k2")))
-        own = held.dropDuplicates(["node"]).select("text").mapInArrow(lambda b: arrays(b, marks, False), schema)
-        own = checkpointed(own.join(wanted, ["k1", "k2"]).select("node", "n", "shingles"))
+        own = held.select("text").mapInArrow(lambda b: arrays(b, marks, False), schema).join(wanted, ["k1", "k2"])
+        own = own.select("node", "n", "shingles").dropDuplicates(["node"])  # one shuffle, by node, serves both joins
         sides = [own.select(F.col("node").alias(a), F.col("n").alias(n), F.col("shingles").alias(x)) for a, n, x in (("a", "m", "x"), ("b", "n", "y"))]
         both = pairs.join(sides[0], "a").join(sides[1], "b").where(F.least("m", "n") >= F.greatest("m", "n") * similarity - 1e-9)
         shared = F.size(F.array_intersect("x", "y"))
