@@ -5,6 +5,8 @@ from assayer.catalog import ORACLES, QUERIES
 from .oracle import duck, rows
 
 DATA = "/root/testdata/sf0.001"
+#: Queries without SQL; test_changes.py holds them against a plain greedy choice.
+WITHOUT_SQL = {"matched_findings", "audit_diff", "diff_headline"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -16,5 +18,12 @@ def test_query_equals_its_sql(spark, name):
         assert list(got.columns)
 
 
+@pytest.mark.parametrize("name", ["page_scores", "hotspots_top20", "affected_files", "secondary_match"])
+def test_query_equals_its_sql_on_more_rows(spark, name):
+    data = "/root/testdata/sf0.01"
+    got = rows(QUERIES[name](spark, data).toPandas())
+    assert got and got == rows(duck(ORACLES[name], data))
+
+
 def test_every_query_has_sql():
-    assert set(ORACLES) == set(QUERIES)
+    assert set(ORACLES) == set(QUERIES) - WITHOUT_SQL
