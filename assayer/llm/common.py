@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.checkpoints import checkpointed, shared_folder
 
-__all__ = ["BROADCAST_ROWS", "bound", "checkpointed", "digest", "shared_folder", "small", "table", "text_of"]
+__all__ = ["BROADCAST_ROWS", "bound", "checkpointed", "digest", "removed", "shared_folder", "small", "table", "text_of"]
 
 #: Rows of two or three numbers that may be broadcast: some 60 MB as a hash table.
 BROADCAST_ROWS = 500_000
@@ -38,3 +38,9 @@ def digest(text: Column) -> Column:
 def bound(value: Column, then: Callable[[Column], Column]) -> Column:
     """then(value) with value worked out once: within a lambda an expression would be worked out for each element."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, line_dedup, packing, quality, sharding, simhash_dedup, token_counts, url_filter
+from . import decontamination, exact_dedup, language_id, line_dedup, packing, quality, secret_scan, sharding, simhash_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op12_secret_scan": secret_scan.op12_secret_scan,
 }
 
 ORACLES = {
     "op6_url_filter": url_filter.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op12_secret_scan": secret_scan.ORACLE,
 }
