@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, line_dedup, packing, quality, secret_scan, sharding, simhash_dedup, token_counts, url_filter
+from . import alignment, decontamination, exact_dedup, language_id, line_dedup, packing, quality, resampling, secret_scan, sharding, simhash_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_resampling": resampling.op11_resampling,
     "op12_secret_scan": secret_scan.op12_secret_scan,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLES = {
