@@ -8,7 +8,8 @@ import json
 import re
 import uuid
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,14 @@ from .common import checkpointed, removed, shared_folder, table, text_of
 A_FILE, A_RANKS, B_FILE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 #: A space between two letters that aren't white space; no token of either tokenizer reaches over the place before it.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Spaces beside white space, where splitting at every space would cut elsewhere.
-UNEVEN = re.compile(r"^\s|\s$| \s|\s ")
+#: White space beside spaces and line breaks.
+OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Letters of the texts that are aligned in one go, and words with their letters that a worker remembers.
-CHUNK, WORDS, LETTERS = 8_000_000, 300_000, 6_000_000
+CHUNK, WORDS, LETTERS = 2_000_000, 200_000, 4_000_000
 #: Pairs of ids whose counts a task holds before it hands them on, and that may be broadcast (some 100 MB).
 TASK_PAIRS, BROADCAST_PAIRS = 1_000_000, 1_500_000
+#: Words that A encodes in one go, and bits of an id of B within a pair.
+RUN, BITS = 500, 31
 
 
 class TokenizerA:
@@ -38,10 +41,8 @@ class TokenizerA:
     def __init__(self, path: str, ranks: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.path = path
         with open(ranks, "rb") as lines:
             by_token = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.quick = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=by_token, special_tokens={})
@@ -53,8 +54,25 @@ class TokenizerA:
             if all(letter in of for letter in token):
                 self.bytes[i] = bytes(of[letter] for letter in token)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self.one(text) for text in texts]
+        self.sizes = np.fromiter(map(len, self.bytes), np.int64)
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of " " + word for each word, one after the other, and how many each has.
+
+        Words that begin and end with other letters than white space are encoded in runs, since each begins a token there.
+        """
+        ids, lengths = [], []
+        for n in range(0, len(words), RUN):
+            run = words[n : n + RUN]
+            if any(w[0].isspace() or w[-1].isspace() for w in run):
+                given = [self.one(" " + w) for w in run]
+                ids.append(np.fromiter(chain.from_iterable(given), np.int64))
+                lengths.append(np.fromiter(map(len, given), np.int64, len(run)))
+                continue
+            ids.append(np.array(self.one(" " + " ".join(run)), np.int64))
+            ends = np.cumsum(np.fromiter((len(w) if w.isascii() else len(w.encode()) for w in run), np.int64, len(run)) + 1)
+            lengths.append(np.diff(np.searchsorted(np.cumsum(self.sizes[ids[-1]]), ends, "right"), prepend=0))
+        return np.concatenate(ids), np.concatenate(lengths)
 
     def one(self, text: str) -> list[int]:
         try:
@@ -62,6 +80,14 @@ class TokenizerA:
         except ValueError:
             return self.library.encode(text, add_special_tokens=False).ids
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(self.path)
+        library.encode_special_tokens = True
+        return library
+
 
 class TokenizerB:
     """text -> ids of a sentencepiece model, which puts a space in front."""
@@ -74,8 +100,12 @@ class TokenizerB:
         piece = self.library.id_to_piece
         self.bytes = [bytes([int(piece(i)[3:-1], 16)]) if self.library.is_byte(i) else piece(i).replace("▁", " ").encode() for i in ids]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.library.encode(texts, num_threads=1) if texts else []
+        self.sizes = np.fromiter(map(len, self.bytes), np.int64)
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each word, with the space that the library puts in front, one after the other, and how many each has."""
+        given = self.library.encode(words, num_threads=1)
+        return np.fromiter(chain.from_iterable(given), np.int64), np.fromiter(map(len, given), np.int64, len(words))
 
 
 def byte_letters() -> list[str]:
@@ -90,22 +120,25 @@ def tokenizers(a: str, ranks: str, b: str) -> tuple[TokenizerA, TokenizerB]:
     return TokenizerA(a, ranks), TokenizerB(b)
 
 
+@cache
+def words_known(a: str, ranks: str, b: str) -> Words:
+    """The words of a worker, which its next task finds again."""
+    return Words(*tokenizers(a, ranks, b))
+
+
 def words_of(text: str) -> list[str]:
     """The parts of " " + text between places where both tokenizers begin a token, each without the space it starts with."""
-    return CUT.split(text) if UNEVEN.search(text) else text.split(" ")
+    uneven = "  " in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or OTHER_SPACE.search(text)
+    return CUT.split(text) if uneven else text.split(" ")
 
 
-#: One row a pair of tokens that overlap: the first and the last B token of each A token by ASOF, those between by a range join.
-LINKS = """
-SELECT o.w AS w, o.a AS a, b.id AS b, count(*) AS n FROM (
-  SELECT r.w, r.a, r.first, l.n AS last FROM (SELECT a.w, a.id AS a, a.e, f.n AS first FROM a ASOF JOIN b f ON a.s >= f.s) r ASOF JOIN b l ON r.e > l.s
-) o JOIN b ON b.n BETWEEN o.first AND o.last GROUP BY ALL ORDER BY ALL
-"""
-#: The group of each token: the sum of the ends that both have before it.
+#: Tokens of x with their group: the ends before them at which y's last token, found by ASOF, ends too, in a window sum.
 GROUPS = """
-SELECT x.n, sum(CASE WHEN y.e IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY x.n) - CASE WHEN y.e IS NULL THEN 0 ELSE 1 END AS g
-FROM {x} x LEFT JOIN {y} y ON x.e = y.e ORDER BY x.n
+CREATE OR REPLACE TEMP TABLE {x}_groups AS SELECT n, w, id, s, e, count(c) OVER (ORDER BY n) - CASE WHEN c THEN 1 ELSE 0 END AS g
+FROM (SELECT x.*, CASE WHEN y.e = x.e THEN true END AS c FROM {x} x ASOF LEFT JOIN {y} y ON x.e >= y.e)
 """
+#: One row a link: a range join of the tokens' intervals, which can't reach over groups.
+LINKS = "SELECT a.w AS w, a.id AS a, b.id AS b FROM a_groups a JOIN b_groups b ON a.g = b.g AND b.s < a.e AND a.s < b.e ORDER BY a.w"
 
 
 class Words(dict):
@@ -116,7 +149,7 @@ class Words(dict):
         import duckdb
 
         self.a, self.b = a, b
-        self.sizes = [np.fromiter(map(len, t.bytes), np.int64) for t in (a, b)]
+        self.bytes = [pa.array(t.bytes, pa.binary()) for t in (a, b)]
         self.con = duckdb.connect(config={"threads": 1})
         self.forget()
 
@@ -125,10 +158,33 @@ class Words(dict):
         self.new: list[str] = []
         self.letters = 0
         self.groups: list[str] = []
-        #: by word: whether its bytes come back, tokens of A and B, groups, links, and where its pairs begin
+        #: by word: whether its bytes come back, tokens of A and B, groups, links; where its pairs begin; how often it was asked for
         self.stats = np.zeros((0, 5), np.int64)
         self.start = np.zeros(1, np.int64)
-        self.pairs = np.zeros((0, 3), np.int64)
+        self.used = np.zeros(0, np.int64)
+        self.pairs = np.zeros(0, np.int64)
+
+    def forget_rare(self) -> None:
+        """Keeps the words that were asked for twice or more since the last time, unless these are half of what may be kept, or very long."""
+        kept = np.flatnonzero(self.used > 1)
+        words = [w for w, often in zip(self, (self.used > 1).tolist(), strict=True) if often]
+        letters = sum(map(len, words))
+        if len(words) > WORDS // 2 or letters > LETTERS // 2:
+            self.forget()
+            return
+        self.clear()
+        self.update(zip(words, range(len(words)), strict=True))
+        self.letters = letters
+        self.groups = [self.groups[i] for i in kept.tolist()]
+        at, size = self.places(kept)
+        self.pairs, self.start = self.pairs[at], np.concatenate([[0], np.cumsum(size)])
+        self.stats, self.used = self.stats[kept], np.zeros(len(kept), np.int64)
+
+    def places(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pairs of these words stand, one word after the other, and how many each has."""
+        start = self.start[words]
+        size = self.start[words + 1] - start
+        return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum()), size
 
     def __missing__(self, word: str) -> int:
         self[word] = at = len(self)
@@ -141,17 +197,16 @@ class Words(dict):
         words, self.new = self.new, []
         if not words:
             return
-        spaced = [" " + w for w in words]
-        ids = [self.a.encode(spaced), self.b.encode(words)]
-        bytes_of = (self.a.bytes, self.b.bytes)
-        whole = np.array([all(b"".join(map(of.__getitem__, i)) == s.encode() for of, i in zip(bytes_of, two, strict=True)) for s, two in zip(spaced, zip(*ids, strict=True), strict=True)])
+        flat, lengths = zip(*(t.encode(words) for t in (self.a, self.b)), strict=True)
+        back = [_glued(of.take(pa.array(ids)), _edges(n), b"") for of, ids, n in zip(self.bytes, flat, lengths, strict=True)]
+        want = pa.array([" " + w for w in words]).cast(pa.binary())
+        whole = pc.and_(*(pc.equal(b, want) for b in back)).to_numpy(zero_copy_only=False)
         counts, tokens = [], []
-        for side, size in zip(ids, self.sizes, strict=True):
-            n = np.where(whole, np.fromiter(map(len, side), np.int64, len(side)), 0)
-            flat = np.fromiter((i for one, ok in zip(side, whole, strict=True) if ok for i in one), np.int64, int(n.sum()))
-            ends = np.cumsum(size[flat])
+        for ids, length, size in zip(flat, lengths, (self.a.sizes, self.b.sizes), strict=True):
+            ids, n = ids[np.repeat(whole, length)], np.where(whole, length, 0)
+            ends = np.cumsum(size[ids])
             counts.append(n)
-            tokens.append({"n": np.arange(len(flat)), "w": np.repeat(np.arange(len(words)), n), "id": flat, "s": ends - size[flat], "e": ends})
+            tokens.append({"n": np.arange(len(ids)), "w": np.repeat(np.arange(len(words)), n), "id": ids, "s": ends - size[ids], "e": ends})
         links, (group_a, group_b) = self._joined(tokens)
         groups = self._texts(tokens, group_a, group_b, len(words))
         stats = np.zeros((len(words), 5), np.int64)
@@ -159,55 +214,56 @@ class Words(dict):
         if len(group_a):
             last = np.cumsum(counts[0])[whole] - 1
             stats[whole, 3] = np.diff(group_a[last] + 1, prepend=0)
-        np.add.at(stats[:, 4], links["w"], links["n"])
+        stats[:, 4] = np.bincount(links["w"], minlength=len(words))
         self.groups += groups
+        self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
         self.stats = np.concatenate([self.stats, stats])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.bincount(links["w"], minlength=len(words)))])
-        self.pairs = np.concatenate([self.pairs, np.stack([links["a"], links["b"], links["n"]], axis=1).astype(np.int64).reshape(-1, 3)])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(stats[:, 4])])
+        self.pairs = np.concatenate([self.pairs, links["a"] << BITS | links["b"]])
 
     def _joined(self, tokens: list[dict]) -> tuple[dict, list[np.ndarray]]:
         a, b = (pa.table(t) for t in tokens)
         self.con.register("a", a)
         self.con.register("b", b)
+        for x, y in ("ab", "ba"):
+            self.con.execute(GROUPS.format(x=x, y=y))
+        groups = [self.con.execute(f"SELECT g FROM {x}_groups ORDER BY n").fetchnumpy()["g"] for x in "ab"]
         links = self.con.execute(LINKS).fetchnumpy()
-        groups = [self.con.execute(GROUPS.format(x=x, y=y)).fetchnumpy()["g"].astype(np.int64) for x, y in ("ab", "ba")]
         self.con.unregister("a")
         self.con.unregister("b")
         return links, groups
 
     def _texts(self, tokens: list[dict], group_a: np.ndarray, group_b: np.ndarray, words: int) -> list[str]:
         """Each word's groups as a1,a2|b1;a3|b2."""
-        of_group = []
-        for side, group in zip(tokens, (group_a, group_b), strict=True):
-            first = np.flatnonzero(np.diff(group, prepend=-1))
-            of_group.append([",".join(part) for part in _parts(list(map(str, side["id"].tolist())), first)])
-        both = [f"{x}|{y}" for x, y in zip(*of_group, strict=True)]
+        of_group = [_glued(pc.cast(pa.array(side["id"]), pa.string()), _edges_of(group), ",") for side, group in zip(tokens, (group_a, group_b), strict=True)]
+        both = pc.binary_join_element_wise(*of_group, "|")
+        of_word = tokens[0]["w"][_edges_of(group_a)[:-1]]
+        edges = _edges_of(of_word)
         out = [""] * words
-        of_word = tokens[0]["w"][np.flatnonzero(np.diff(group_a, prepend=-1))]
-        first = np.flatnonzero(np.diff(of_word, prepend=-1))
-        for word, part in zip(of_word[first].tolist(), _parts(both, first), strict=True):
-            out[word] = ";".join(part)
+        for word, text in zip(of_word[edges[:-1]].tolist(), _glued(both, edges, ";").to_pylist(), strict=True):
+            out[word] = text
         return out
 
 
-def _parts(values: list, first: np.ndarray) -> Iterator[list]:
-    edges = [*first.tolist(), len(values)]
-    return (values[a:b] for a, b in zip(edges, edges[1:], strict=False))
+def _edges(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)])
+
+
+def _edges_of(sorted_numbers: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers begins, and the end."""
+    return np.concatenate([np.flatnonzero(np.diff(sorted_numbers, prepend=-1)), [len(sorted_numbers)]]) if len(sorted_numbers) else np.zeros(1, np.int64)
 
 
-def _summed(pairs: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """Pairs (a, b, n) with n times `times`, added up by a and b."""
-    key = pairs[:, 0] << 32 | pairs[:, 1]
-    unique, at = np.unique(key, return_inverse=True)
-    n = np.bincount(at, weights=pairs[:, 2] * times, minlength=len(unique)).astype(np.int64)
-    return np.stack([unique >> 32, unique & 0xFFFFFFFF, n], axis=1)
+def _glued(values: pa.Array, edges: np.ndarray, between: str | bytes) -> pa.Array:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), values), between)
 
 
-def _of_words(known: Words, words: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """The pairs of these words, each as often as the word occurs, added up."""
-    start, size = known.start[words], known.start[words + 1] - known.start[words]
-    at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-    return _summed(known.pairs[at], np.repeat(times, size))
+def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and what their times add up to."""
+    order = np.argsort(keys)
+    keys, times = keys[order], times[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(times, first) if len(first) else times
 
 
 PAIRS = ("a", "b", "n")
@@ -219,23 +275,25 @@ def aligner(a: str, ranks: str, b: str) -> Callable[[Iterator[pa.RecordBatch]],
     """(doc_id, row, text) -> a row for each text with its numbers and pairs, and rows without a number that hold pairs of many texts added up."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words(*tokenizers(a, ranks, b))
-        partial = np.zeros((0, 3), np.int64)
+        known = words_known(a, ranks, b)
+        if known.new:  # a task before has ended halfway
+            known.forget()
+        partial = none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         kind = pa.int64()
         for batch in batches:
             kind = batch.schema.field("doc_id").type
             for at, size in chunks(pc.utf8_length(batch["text"]).to_numpy()):
                 piece = batch.slice(at, size)
-                out, of_chunk = aligned(known, piece["row"].to_pylist(), piece["text"].to_pylist())
-                yield rows(piece["doc_id"], out)
-                partial = _summed(both := np.concatenate([partial, of_chunk]), np.ones(len(both), np.int64))
-                if len(partial) > TASK_PAIRS:
-                    yield rows(pa.nulls(1, kind), [(*[None] * len(ROW), partial)])
-                    partial = partial[:0]
+                out, lists, of_chunk = aligned(known, piece["row"].to_pylist(), piece["text"].to_pylist())
+                yield rows(piece["doc_id"], out, *lists)
+                partial = summed(*(np.concatenate(two) for two in zip(partial, of_chunk, strict=True)))
+                if len(partial[0]) > TASK_PAIRS:
+                    yield rows(pa.nulls(1, kind), [(None,) * len(ROW)], np.array([len(partial[0])]), *partial)
+                    partial = none
                 if len(known) > WORDS or known.letters > LETTERS:
-                    known.forget()
-        if len(partial):
-            yield rows(pa.nulls(1, kind), [(*[None] * len(ROW), partial)])
+                    known.forget_rare()
+        if len(partial[0]):
+            yield rows(pa.nulls(1, kind), [(None,) * len(ROW)], np.array([len(partial[0])]), *partial)
 
     return align
 
@@ -247,30 +305,39 @@ def chunks(letters: np.ndarray) -> Iterator[tuple[int, int]]:
     return ((a, b - a) for a, b in zip(first, [*first[1:], len(letters)], strict=True))
 
 
-def aligned(known: Words, numbers: list[int], texts: list[str]) -> tuple[list[tuple], np.ndarray]:
-    """What each text gives, by its number, and the pairs of all."""
-    split = [(row, np.fromiter(map(known.__getitem__, words := words_of(text)), np.int64, len(words)) if text else None) for row, text in zip(numbers, texts, strict=True)]
+def aligned(known: Words, numbers: list[int], texts: list[str]) -> tuple[list[tuple], tuple, tuple]:
+    """What each text gives; its pairs as (how many by text, pairs, times); and the pairs of all texts."""
+    none = np.zeros(0, np.int64)
+    split = [np.fromiter(map(known.__getitem__, words := words_of(text)), np.int64, len(words)) if text else none for text in texts]
     known.align()
-    out, total = [], np.zeros(len(known), np.int64)
-    for row, words in split:
-        if words is None or not known.stats[words, 0].all():
-            out.append((row, 0, 0, 0, 0, "", known.pairs[:0]))
+    out, held = [], []
+    for n, (row, words) in enumerate(zip(numbers, split, strict=True)):
+        if not len(words) or not known.stats[words, 0].all():
+            out.append((row, 0, 0, 0, 0, ""))
             continue
-        counts = known.stats[words, 1:].sum(axis=0).tolist()
         digest = hashlib.sha256(";".join(map(known.groups.__getitem__, words.tolist())).encode()).hexdigest()
-        unique, times = np.unique(words, return_counts=True)
-        total[unique] += times
-        out.append((row, *counts, digest, _of_words(known, unique, times)))
-    used = np.flatnonzero(total)
-    return out, _of_words(known, used, total[used])
-
-
-def rows(ids: pa.Array, values: list[tuple]) -> pa.RecordBatch:
-    *plain, pairs = zip(*values, strict=True)
-    edges = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
-    flat = np.concatenate(pairs)
-    lists = [pa.ListArray.from_arrays(edges, pa.array(flat[:, k], kind)) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int64()))]
-    return pa.RecordBatch.from_arrays([ids, *(pa.array(v, kind) for v, kind in zip(plain, ROW.values(), strict=True)), *lists], names=["doc_id", *ROW, *PAIRS])
+        out.append((row, *known.stats[words, 1:].sum(axis=0).tolist(), digest))
+        held.append((n, words))
+    if not held:
+        return out, (np.zeros(len(out), np.int64), none, none), (none, none)
+    words = np.concatenate([w for _, w in held])
+    of_text = np.repeat([n for n, _ in held], [len(w) for _, w in held])
+    used, times = np.unique(words, return_counts=True)
+    known.used[used] += times
+    at, size = known.places(used)
+    total = summed(known.pairs[at], np.repeat(times, size))
+    at, size = known.places(words)
+    # pairs as their numbers in total, so that text and pair make one key
+    keys, times = summed(np.repeat(of_text, size) * len(total[0]) + np.searchsorted(total[0], known.pairs[at]), np.ones(len(at), np.int64))
+    per_text = np.bincount(keys // len(total[0]), minlength=len(out))
+    return out, (per_text, total[0][keys % len(total[0])], times), total
+
+
+def rows(ids: pa.Array, values: list[tuple], per_row: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    edges = pa.array(_edges(per_row), pa.int32())
+    columns = (pairs >> BITS, pa.int32()), (pairs & (1 << BITS) - 1, pa.int32()), (times, pa.int64())
+    lists = [pa.ListArray.from_arrays(edges, pa.array(v).cast(kind)) for v, kind in columns]
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(v, kind) for v, kind in zip(zip(*values, strict=True), ROW.values(), strict=True)), *lists], names=["doc_id", *ROW, *PAIRS])
 
 
 def pair_counts(partial: DataFrame) -> DataFrame:
