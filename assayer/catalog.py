@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .operators import changes, coverage, findings, graphs, hotspots, paths, records, rollups, scanners
+from .operators import brackets, changes, coverage, entries, findings, graphs, hotspots, paths, records, rollups, scanners
 
-_MODULES = (hotspots, findings, coverage, scanners, paths, rollups, changes, graphs, records)
+_MODULES = (hotspots, findings, coverage, scanners, paths, rollups, changes, graphs, records, brackets, entries)
 QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

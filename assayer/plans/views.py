@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .code import CODE_VIEWS
+
 VIEWS: dict[str, tuple[str, list[str]]] = {
     "v_findings": (
         "orders",
@@ -97,6 +99,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         ],
     ),
     "v_edges": ("lineitem", ["CAST(l_partkey % 1500 AS BIGINT) AS src", "CAST(l_suppkey * 31 % 1500 AS BIGINT) AS dst"]),
+    **CODE_VIEWS,
 }
 
 
