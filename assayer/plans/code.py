@@ -39,6 +39,15 @@ JS = [
     {" the ": "\n'use server'\n", " la ": "\n'use server'\nexport const save = onCall(async (request) => { request.auth ", " on ": " async function saveIt(a, b) ", " of ": " boss.work('mail', f) x.cron.schedule('nightly', '0 3') ",
      " le ": " new Worker('q', f); server.tool('find', x) '): tool({ a: 1 })\n", ". ": "\nexport const run = async () => { await requireUser(x, getCurrentTeam()) }\n", " and ": " const later = async (q) => { validateRequest(q) "},
 ]
+#: Migrations and rules in four kinds: tables, functions, policies, rules of a document store.
+SQL = [
+    {". ": ";\ncreate table ", " the ": " (id int, n text); ", " la ": " (id int); ", ", ": ";\nalter table only public.", " of ": " enable row level security; ", " le ": " force row level security; ", " and ": " 'it''s; ' -- no; end\n"},
+    {". ": ";\n\ncreate or replace function \"Public\".", " the ": "() returns int security definer as $$ select 1; $$; ", " la ": "(a int) returns trigger security definer as $fn$ x; $$ $fn$; ", ", ": ";\n/* a; b */ revoke execute on function ",
+     " of ": " (int) from public, anon; ", " le ": " () security definer set search_path = '' as $$ select auth.uid(); $$; ", " is ": " () security definer; "},
+    {". ": ";\ncreate policy ", " the ": " on public.notes for select using (true); ", " la ": " on storage.objects for all using (bucket_id = 'a' and (x = 1)); ", " of ": " on Posts using ((select auth.uid()) = owner) with check ( auth.role() = 'authenticated' ); ",
+     " le ": " on docs using (auth.uid() is not null) ", " and ": ";\ninsert into storage.buckets (id) values ('pics', 'pics', true),\n ('x-y','x',false), ('a','a',true);\n", " is ": " on docs with  check (auth.jwt() is not null "},
+    {" the ": "\nmatch /docs/{id} {\n", " la ": "\nmatch /own/{x=**} {", ", ": " allow read,\n write: if  true; ", " of ": " allow get : if request.auth  != null; ", ". ": "\n allow update: if request.auth.uid == owner;"},
+]
 _USE_SERVER = "CASE WHEN doc_id % 3 = 0 THEN " + literal("// actions\n'use server';\n") + " ELSE '' END"
 CODE_VIEWS = {
     "v_js": (
@@ -51,4 +60,12 @@ CODE_VIEWS = {
             f"WHEN 1 THEN {rewritten('text', JS[2])} WHEN 5 THEN {rewritten('text', JS[2])} ELSE {rewritten('text', JS[0])} END) AS text",
         ],
     ),
+    "v_sql": (
+        "documents",
+        [
+            "doc_id",
+            paths(["supabase/migrations/{n}_a.sql", "app/supabase/migrations/{n}.sql", "supabase/migrations/9{n}_p.sql", "web{n}/firestore.rules", "db/{n}.sql"]) + " AS path",
+            f"CASE doc_id % 5 WHEN 1 THEN {rewritten('text', SQL[1])} WHEN 2 THEN {rewritten('text', SQL[2])} WHEN 3 THEN {rewritten('text', SQL[3])} ELSE {rewritten('text', SQL[0])} END AS text",
+        ],
+    ),
 }
