@@ -80,7 +80,7 @@ def test_policy_rows(spark):
         (2, "bucket pics", "1.sql", 9, 'storage bucket "pics" is public'),
         (7, "risky()", "1.sql", 11, "SECURITY DEFINER function"),
         (1, "safe()", "1.sql", 12, "SECURITY DEFINER function"),
-        (6, "/docs/{id}", "firestore.rules", 2, "allow read, write"),
-        (4, "/docs/{id}", "firestore.rules", 3, "allow get on /docs/{id} for any signed-in user"),
+        (6, "/docs/", "firestore.rules", 2, "allow read, write"),
+        (4, "/docs/", "firestore.rules", 3, "allow get on /docs/ for any signed-in user"),
     }
     assert policy_rows(spark.createDataFrame([], "path string, text string")).count() == 0
