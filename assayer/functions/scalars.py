@@ -27,6 +27,8 @@ LINEAR = {"CRITICAL": "Urgent", "HIGH": "High", "MEDIUM": "Medium", "LOW": "Low"
 JIRA = {"CRITICAL": "Highest", "HIGH": "High", "MEDIUM": "Medium", "LOW": "Low"}
 SAFE_SEGMENT = r"^[A-Za-z0-9_.][A-Za-z0-9_.-]*$"
 MOUNT = "/src/"
+#: Names of files within titles.
+FILE_NAMES = r"[\w./()\[\]@-]+\.\w+(:\d+(\s*[-–]\s*\d+)?)?"
 
 
 def looked_up(words: dict[str, str], key: Column, other: str) -> Column:
@@ -143,7 +145,7 @@ def compatible(category: Column, advisory: Column, any_category: Column) -> Colu
 
 def plain_title(title: Column) -> Column:
     """Letters of a title in lower case, without code and names of files."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"`[^`]*`", " "), r"[\w./()\[\]@-]+\.\w+(:\d+(\s*[-–]\s*\d+)?)?", " ")
+    bare = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"`[^`]*`", " "), FILE_NAMES, " ")
     return F.trim(F.regexp_replace(bare, r"[^a-z]+", " "))
 
 

@@ -7,32 +7,58 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import line_gap, same_title
+from ..functions.scalars import FILE_NAMES, line_gap, plain_title
 from ..plans.checkpoints import checkpointed
 from ..plans.registry import Registry
 from ..plans.views import view
 from .coverage import closure
 
 REGISTRY = Registry()
-#: Lines within which two findings may be the same, and the share of targets above which a run is a full one.
-LINE_WINDOW, FULL_ABOVE = 3, 0.5
+#: Lines within which two findings may be the same, the share of words of titles that are alike, and the share of targets above which a run is a full one.
+LINE_WINDOW, ALIKE, FULL_ABOVE = 3, 0.6, 0.5
+#: Lines of the blocks in which places meet.
+LINE_BLOCK = 16
 
 
-def greedy_pairs(candidates: DataFrame) -> DataFrame:
-    """The pairs (c, p) that a greedy choice by rank leaves, each c and each p in one at most.
+def greedy_pairs(members: DataFrame, lists: DataFrame) -> DataFrame:
+    """The pairs (c, p) that a greedy choice by (rank, c, p) makes, each c and each p in one at most.
 
-    candidates has c, p and columns that order all pairs without ties. In every step the pairs go that are the first ones
-    of both their ends, which is what the greedy choice would take; then the pairs of these ends are out. The steps end
-    when no pair is left.
+    members (c, kind) are findings of a kind that ranks all others alike; lists (kind, n, p, rank) are what a kind looks at, from 0 on in the order of
+    (rank, p). A member offers itself to one of its list, which takes the best by (rank, c); who isn't taken goes on to the
+    next. Of one kind the later members always stand further down than the earlier ones, so they begin where they are themselves, and a
+    thousand equal findings take one step. The steps end when all offers are taken.
     """
-    order = F.struct("rank", "c", "p")
-    left, taken = checkpointed(candidates.select("c", "p", "rank")), []
-    while left.limit(1).count():
-        best = left.withColumn("of_c", F.min(order).over(Window.partitionBy("c"))).withColumn("of_p", F.min(order).over(Window.partitionBy("p")))
-        now = checkpointed(best.where((F.col("of_c") == order) & (F.col("of_p") == order)).select("c", "p"))
-        taken.append(now)
-        left = checkpointed(left.join(now.select("c"), "c", "left_anti").join(now.select("p"), "p", "left_anti"))
-    return reduce(DataFrame.unionByName, taken) if taken else left.select("c", "p")
+    first = F.row_number().over(Window.partitionBy("kind").orderBy("c")) - 1
+    state = members.withColumn("j", first).withColumn("n", F.col("j"))
+    so_far = Window.partitionBy("kind").orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lists = checkpointed(lists)
+    while True:
+        offers = checkpointed(state.join(lists, ["kind", "n"]))
+        best = offers.groupBy("p").agg(F.min(F.struct("rank", "c")).alias("best"))
+        judged = offers.join(best, "p").withColumn("taken", F.col("best.c") == F.col("c"))
+        state = checkpointed(judged.select("c", "p", "kind", "j", "taken", "n"))
+        if not state.where("NOT taken").limit(1).count():
+            return state.select("c", "p")
+        moved = state.withColumn("n", F.col("n") + F.when(F.col("taken"), 0).otherwise(1))
+        state = moved.select("c", "kind", "j", (F.col("j") + F.max(F.col("n") - F.col("j")).over(so_far)).alias("n"))
+
+
+def alike_titles(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(category, title, other) of plain titles of a and b (category, title) of one category that are equal or share 0.6 of their words.
+
+    Two such sets share one of the n - ceil(0.6 n) + 1 rarest words of each, so only these meet.
+    """
+    both = a.unionByName(b).distinct().where("title <> ''").withColumn("words", F.array_distinct(F.split("title", " ")))
+    seen = both.select("category", "title", F.explode("words").alias("word"))
+    rare = seen.groupBy("category", "word").agg(F.count("*").alias("often"))
+    ranked = seen.join(rare, ["category", "word"]).groupBy("category", "title").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("of"))
+    least = F.size("of") - F.ceil(F.size("of") * ALIKE - 1e-9).cast("int") + 1
+    keys = checkpointed(ranked.select("category", "title", F.explode(F.transform(F.slice("of", F.lit(1), least), lambda x: x["word"])).alias("word")))
+    mine, theirs = (keys.join(side.distinct(), ["category", "title"], "left_semi") for side in (a, b))
+    met = mine.join(theirs.withColumnRenamed("title", "other"), ["category", "word"]).select("category", "title", "other").distinct()
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    shared = F.size(F.array_intersect(words("title"), words("other"))) / F.size(F.array_union(words("title"), words("other")))
+    return met.where((F.col("title") == F.col("other")) | (shared >= ALIKE))
 
 
 def match_findings(current: DataFrame, previous: DataFrame) -> DataFrame:
@@ -40,32 +66,47 @@ def match_findings(current: DataFrame, previous: DataFrame) -> DataFrame:
 
     Three passes of a greedy choice: the same file within LINE_WINDOW lines, the nearest first and equal titles before others;
     the same file and title; the same title. Only findings of one category can be the same. Findings without file or
-    lines are matched by title, or where neither has a line. Empty tables match nothing; ids have to be unique.
+    lines are matched by title, or where neither has a line. Findings that are alike in all these are one kind, and kinds
+    meet instead of findings: near ones by blocks of lines, titles by their rarest words. Empty tables match nothing; ids have to be unique.
     """
-    side = lambda df, k: df.select(*(F.col(c).alias(f"{k}_{c}") for c in ("id", "category", "file", "start_line", "end_line", "title")))
-    c, p = side(current, "c"), side(previous, "p")
-    same_file = (F.col("c_category") == F.col("p_category")) & (F.col("c_file") == F.col("p_file"))
-    alike = same_title(F.col("c_title"), F.col("p_title"))
-    gap = line_gap(F.col("c_start_line"), F.col("c_end_line"), F.col("p_start_line"), F.col("p_end_line"))
-    near = c.join(p, same_file & (gap <= LINE_WINDOW)).select(F.col("c_id").alias("c"), F.col("p_id").alias("p"), (gap * 2 + F.when(alike, 0).otherwise(1)).cast("int").alias("rank"))
-    passes = [lambda a, b: near.join(a, F.col("c") == F.col("c_id"), "left_semi").join(b, F.col("p") == F.col("p_id"), "left_semi")]
-    passes.append(lambda a, b: a.join(b, same_file & alike).select(F.col("c_id").alias("c"), F.col("p_id").alias("p"), F.lit(0).alias("rank")))
-    passes.append(lambda a, b: _same_titles(a, b).select(F.col("c_id").alias("c"), F.col("p_id").alias("p"), F.lit(0).alias("rank")))
+    place = ["file", "start_line", "end_line"]
+    side = lambda df: checkpointed(df.select("id", "category", *place, plain_title(F.col("title")).alias("title")))
+    c, p = side(current), side(previous)
+    titles = checkpointed(alike_titles(c.select("category", "title"), p.select("category", "title")))
     pairs = []
-    for found in passes:
-        now = greedy_pairs(found(c, p))
+    for of, met in ((place + ["title"], _near), (["file", "title"], _same_file), (["title"], _same_title)):
+        kinds = ["category", *of]
+        mine, theirs = (df.select(kinds).distinct().where("file IS NOT NULL AND file <> ''" if "file" in of else "true") for df in (c, p))
+        ranked = met(mine.withColumn("kind", F.to_json(F.struct(*kinds))), theirs.withColumn("other_kind", F.to_json(F.struct(*kinds))), titles).select("kind", "other_kind", "rank")
+        held = p.select(F.col("id").alias("p"), F.to_json(F.struct(*kinds)).alias("other_kind"))
+        n = F.row_number().over(Window.partitionBy("kind").orderBy("rank", "p")) - 1
+        lists = ranked.join(held, "other_kind").withColumn("n", n).select("kind", "n", "p", "rank")
+        now = greedy_pairs(c.select(F.col("id").alias("c"), F.to_json(F.struct(*kinds)).alias("kind")), lists)
         pairs.append(now)
-        c, p = c.join(now, F.col("c_id") == F.col("c"), "left_anti"), p.join(now, F.col("p_id") == F.col("p"), "left_anti")
+        c, p = (checkpointed(df.join(now.select(F.col(k).alias("id")), "id", "left_anti")) for df, k in ((c, "c"), (p, "p")))
     return reduce(DataFrame.unionByName, pairs)
 
 
-def _same_titles(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of one category with like titles. Titles that are 0.6 alike share a word, so pairs meet under their words."""
-    from ..functions.scalars import plain_title
+def _near(a: DataFrame, b: DataFrame, titles: DataFrame) -> DataFrame:
+    """Kinds within LINE_WINDOW lines of one file, or both without a line; they meet in blocks of lines."""
+    blocks = lambda lo, hi: F.explode(F.when(lo.isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.floor(lo / LINE_BLOCK), F.floor(F.greatest(lo, hi) / LINE_BLOCK))))
+    start, end = F.col("start_line"), F.coalesce("end_line", "start_line")
+    mine = a.withColumn("block", blocks(start - LINE_WINDOW, end + LINE_WINDOW))
+    theirs = b.withColumn("block", blocks(start, end)).select("category", "file", "block", "other_kind", F.col("title").alias("other"), start.alias("from"), F.col("end_line").alias("to"))
+    gap = line_gap(start, F.col("end_line"), F.col("from"), F.col("to"))
+    near = mine.join(theirs, ["category", "file", "block"]).withColumn("gap", gap).where(F.col("gap") <= LINE_WINDOW).select("category", "kind", "other_kind", "title", "other", "gap").distinct()
+    alike = titles.withColumn("alike", F.lit(True))
+    return near.join(alike, ["category", "title", "other"], "left").withColumn("rank", (F.col("gap") * 2 + F.when(F.col("alike"), 0).otherwise(1)).cast("int"))
+
+
+def _same_file(a: DataFrame, b: DataFrame, titles: DataFrame) -> DataFrame:
+    theirs = b.select("category", "file", F.col("title").alias("other"), "other_kind")
+    return a.join(titles, ["category", "title"]).join(theirs, ["category", "file", "other"]).withColumn("rank", F.lit(0))
 
-    words = lambda df, k: df.withColumn("word", F.explode(F.array_distinct(F.split(plain_title(F.col(f"{k}_title")), " ")))).where("word <> ''")
-    met = words(a, "c").join(words(b, "p"), "word").where("c_category = p_category").drop("word").distinct()
-    return met.where(same_title(F.col("c_title"), F.col("p_title")))
+
+def _same_title(a: DataFrame, b: DataFrame, titles: DataFrame) -> DataFrame:
+    theirs = b.select("category", F.col("title").alias("other"), "other_kind")
+    return a.join(titles, ["category", "title"]).join(theirs, ["category", "other"]).withColumn("rank", F.lit(0))
 
 
 def classify(current: DataFrame, previous: DataFrame, older: list[DataFrame], partial: bool = False, previous_partial: bool = False) -> DataFrame:
@@ -106,21 +147,58 @@ def _runs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [rows.where(f"run_no = {n}").drop("run_no") for n in (2, 1, 0)]
 
 
-@REGISTRY.query(None)
+_PLAIN = f"trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(title, '')), '`[^`]*`', ' ', 'g'), '{FILE_NAMES}', ' ', 'g'), '[^a-z]+', ' ', 'g'))"
+_RUNS = (
+    ", runs AS (SELECT id, id % 3 AS run_no, concat('c', CAST(id // 3 % 14 AS VARCHAR)) AS category, severity, concat('src/f', CAST(id // 3 % 397 AS VARCHAR), '.ts') AS file, CASE WHEN id % 13 <> 0 THEN id // 3 * 7 % 400 + id % 5 END AS start_line, "
+    "CASE WHEN id % 13 <> 0 THEN id // 3 * 7 % 400 + id % 5 + 2 END AS end_line, concat('Missing check ', (['alpha', 'beta', 'gamma', 'delta', 'epsilon'])[id // 3 % 5 + 1], ' in handler ', translate(CAST(id // 3 % 97 AS VARCHAR), '0123456789', 'qwertyuiop')) AS title, id % 11 = 0 AS fixed FROM v_findings), "
+    f"t AS (SELECT *, {_PLAIN} AS plain, string_split({_PLAIN}, ' ') AS words FROM runs), w AS (SELECT DISTINCT category, plain, words FROM t WHERE plain <> ''), "
+    f"alike AS (SELECT DISTINCT a.category, a.plain AS x, b.plain AS y FROM w a JOIN w b ON a.category = b.category AND (a.plain = b.plain OR len(list_intersect(list_distinct(a.words), list_distinct(b.words))) / len(list_distinct(list_concat(a.words, b.words))) >= {ALIKE}))"
+)
+_GAP = "CASE WHEN c.start_line IS NULL AND p.start_line IS NULL THEN 0 WHEN c.start_line IS NULL OR p.start_line IS NULL THEN NULL ELSE greatest(0, p.start_line - c.end_line, c.start_line - p.end_line) END"
+
+
+def _matched(name: str, current: str, previous: str) -> str:
+    """Tables of SQL that end in name(c, p): in each step of a pass the pairs go that are the first ones of both their ends."""
+    out, c, p = "", current, previous
+    passes = [
+        f"SELECT c, p, gap * 2 + CASE WHEN x IS NULL THEN 1 ELSE 0 END AS rank FROM (SELECT c.id AS c, p.id AS p, {_GAP} AS gap, alike.x FROM {{c}} c JOIN {{p}} p ON c.category = p.category AND c.file = p.file LEFT JOIN alike ON alike.category = c.category AND x = c.plain AND y = p.plain) WHERE gap <= {LINE_WINDOW}",
+        "SELECT c.id AS c, p.id AS p, 0 AS rank FROM {c} c JOIN {p} p ON c.category = p.category AND c.file = p.file JOIN alike ON alike.category = c.category AND x = c.plain AND y = p.plain",
+        "SELECT c.id AS c, p.id AS p, 0 AS rank FROM {c} c JOIN alike ON alike.category = c.category AND x = c.plain JOIN {p} p ON c.category = p.category AND y = p.plain",
+    ]
+    best = lambda of, by="": f"SELECT *, row_number() OVER (PARTITION BY {by}c ORDER BY rank, c, p) = 1 AND row_number() OVER (PARTITION BY {by}p ORDER BY rank, c, p) = 1 AS best FROM {of}"
+    for k, found in enumerate(passes):
+        step = f"{name}_{k}"
+        out += f", {step}_r(n, c, p, rank) AS (SELECT 0, c, p, rank FROM ({found.format(c=c, p=p)}) UNION ALL SELECT n + 1, c, p, rank FROM (SELECT *, bool_or(best) OVER (PARTITION BY c) AS of_c, bool_or(best) OVER (PARTITION BY p) AS of_p FROM ({best(step + '_r')})) WHERE NOT of_c AND NOT of_p)"
+        out += f", {step} AS (SELECT c, p FROM ({best(step + '_r', 'n, ')}) WHERE best)"
+        out += f", {step}_c AS (SELECT * FROM {c} WHERE id NOT IN (SELECT c FROM {step})), {step}_p AS (SELECT * FROM {p} WHERE id NOT IN (SELECT p FROM {step}))"
+        c, p = f"{step}_c", f"{step}_p"
+    return out + f", {name} AS ({' UNION ALL '.join(f'SELECT c, p FROM {name}_{k}' for k in range(len(passes)))})"
+
+
+_THREE = _RUNS + ", cur AS (SELECT * FROM t WHERE run_no = 2), prev AS (SELECT * FROM t WHERE run_no = 1), old AS (SELECT * FROM t WHERE run_no = 0)" + _matched("m", "cur", "prev")
+_CLASSES = _THREE + ", rest AS (SELECT * FROM cur WHERE NOT fixed AND id NOT IN (SELECT c FROM m))" + _matched("again", "rest", "old") + """, classes AS (
+  SELECT m.c AS id, CASE WHEN c.fixed AND p.fixed THEN 'still_fixed' WHEN c.fixed THEN 'fixed' WHEN p.fixed THEN 'regressed' ELSE 'unchanged' END AS class, m.p AS was FROM m JOIN cur c ON c.id = m.c JOIN prev p ON p.id = m.p
+  UNION ALL SELECT m.c, 'severity_changed', m.p FROM m JOIN cur c ON c.id = m.c JOIN prev p ON p.id = m.p WHERE NOT c.fixed AND c.severity <> p.severity
+  UNION ALL SELECT c, 'regressed', p FROM again
+  UNION ALL SELECT id, 'new', NULL FROM cur WHERE id NOT IN (SELECT c FROM m) AND id NOT IN (SELECT c FROM again)
+  UNION ALL SELECT NULL, CASE WHEN fixed THEN 'still_fixed' ELSE 'fixed' END, id FROM prev WHERE id NOT IN (SELECT p FROM m))"""
+
+
+@REGISTRY.query(_THREE + " SELECT c, p FROM m", "v_findings")
 def matched_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the newest run and those of the one before that are the same."""
     current, previous, _ = _runs(spark, sf_dir)
     return match_findings(current, previous)
 
 
-@REGISTRY.query(None)
+@REGISTRY.query(_CLASSES + " SELECT * FROM classes", "v_findings")
 def audit_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest of three runs against the others."""
     current, previous, older = _runs(spark, sf_dir)
     return classify(current, previous, [older])
 
 
-@REGISTRY.query(None)
+@REGISTRY.query(_CLASSES + " SELECT class, count(*) AS n FROM classes GROUP BY class", "v_findings")
 def diff_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many findings are new, fixed, regressed, unchanged and so on."""
     return audit_diff(spark, sf_dir).groupBy("class").agg(F.count("*").alias("n"))

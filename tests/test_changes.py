@@ -3,6 +3,7 @@
 import random
 import re
 
+from assayer.functions.scalars import FILE_NAMES
 from assayer.operators import changes
 
 SCHEMA = "id long, category string, severity string, file string, start_line int, end_line int, title string, fixed boolean"
@@ -10,7 +11,7 @@ SCHEMA = "id long, category string, severity string, file string, start_line int
 
 def words(title):
     t = re.sub(r"`[^`]*`", " ", (title or "").lower())
-    t = re.sub(r"[\w./()\[\]@-]+\.\w+(:\d+(\s*[-–]\s*\d+)?)?", " ", t)
+    t = re.sub(FILE_NAMES, " ", t)
     return re.sub(r"[^a-z]+", " ", t).split()
 
 
@@ -90,3 +91,32 @@ def test_queries_give_the_plain_pairs(spark):
     assert sorted((r.c, r.p) for r in changes.matched_findings(spark, data).collect()) == sorted(greedy(current, previous)[0])
     got = changes.audit_diff(spark, data).collect()
     assert sorted(map(str, ((r.id, r["class"], r.was) for r in got))) == sorted(map(str, plain_classes(current, previous, older)))
+
+
+def test_equal_findings_take_few_steps(spark, monkeypatch):
+    steps, plain = [], changes.checkpointed
+    monkeypatch.setattr(changes, "checkpointed", lambda df: steps.append(1) or plain(df))
+    row = {"category": "auth", "severity": "LOW", "file": "a.ts", "start_line": 3, "end_line": 3, "title": "Missing check", "fixed": False}
+    counts = []
+    for n in (20, 2000):
+        steps.clear()
+        current = spark.createDataFrame([{"id": i, **row} for i in range(n)], SCHEMA)
+        previous = spark.createDataFrame([{"id": 10_000 + i, **row, "file": "a.ts" if i % 2 else "b.ts"} for i in range(n)], SCHEMA)
+        got = sorted((r.c, r.p) for r in changes.match_findings(current, previous).collect())
+        near = [10_000 + i for i in range(n) if i % 2]
+        assert got == list(zip(range(n), near + [10_000 + i for i in range(n) if i % 2 == 0], strict=True))
+        counts.append(len(steps))
+    assert counts[0] == counts[1]
+
+
+def test_matching_with_many_ties(spark):
+    rng = random.Random(31)
+    for _ in range(3):
+        two = []
+        for first in (0, 1000):
+            rows = run(rng, first, 60)
+            for r in rows:
+                r["title"] = rng.choice(["missing check alpha", "missing check alpha beta", "missing check beta", "missing check", "gone"])
+            two.append(rows)
+        frames = [spark.createDataFrame(x, SCHEMA) for x in two]
+        assert sorted((r.c, r.p) for r in changes.match_findings(*frames).collect()) == sorted(greedy(*two)[0])
