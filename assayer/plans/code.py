@@ -30,6 +30,11 @@ def paths(templates: list[str]) -> str:
     return f"CASE doc_id % {len(templates)} {cases} END"
 
 
+def _near(times: int, plus: int, rest: int) -> str:
+    """A number near a document's own times `times`, which leaves `rest` if divided by 5, as the paths have it."""
+    return f"CAST((doc_id * {times} + {plus}) % 900 - (doc_id * {times} + {plus}) % 900 % 5 + {rest} AS STRING)"
+
+
 #: JavaScript in three kinds: each snippet holds one of the things that the scanner looks for, and its opposite stands elsewhere.
 JS = [
     {" the ": " app.get('/", ", ": "', getUser(x), (c) => { const y = [1, \"a)(\", `b`]; // (\n", ". ": "\nexport async function POST(req) { await requireUser(req, [1, {a: 2}]); }\n",
@@ -60,6 +65,17 @@ CODE_VIEWS = {
             f"WHEN 1 THEN {rewritten('text', JS[2])} WHEN 5 THEN {rewritten('text', JS[2])} ELSE {rewritten('text', JS[0])} END) AS text",
         ],
     ),
+    "v_imports": (
+        "documents",
+        [
+            "doc_id",
+            paths(["src/d{n}/index.ts", "src/m{n}.tsx", "lib/x{n}.js", "src/deep/er/m{n}.mts", "lib/x{n}/index.jsx"]) + " AS path",
+            "concat(" + ", ".join([
+                literal("import a from '../../lib/x"), _near(7, 3, 2), literal("'\nconst b = require(\"@/m"), _near(3, 1, 1), literal("\")\nexport * from './../src/d"), _near(11, 5, 0), literal("/'\nconst c = await import(`~/er/m"), _near(13, 2, 3),
+                literal(".mjs`)\nimport react from 'react'\nimport './../x"), _near(5, 4, 4), literal("'\nimport \"./../../../up\"\n"), "coalesce(text, '')",
+            ]) + ") AS text",
+        ],
+    ),
     "v_sql": (
         "documents",
         [
