@@ -53,6 +53,12 @@ SQL = [
      " le ": " on docs using (auth.uid() is not null) ", " and ": ";\ninsert into storage.buckets (id) values ('pics', 'pics', true),\n ('x-y','x',false), ('a','a',true);\n", " is ": " on docs with  check (auth.jwt() is not null "},
     {" the ": "\nmatch /docs/{id} {\n", " la ": "\nmatch /own/{x=**} {", ", ": " allow read,\n write: if  true; ", " of ": " allow get : if request.auth  != null; ", ". ": "\n allow update: if request.auth.uid == owner;"},
 ]
+#: Routes in groups: what opens a group and what closes one stand in an order of their own.
+PHP = {
+    " the ": "\nRoute::middleware(['auth', \"can:see\"])->prefix('/", ", ": "')->group(function () {\n", " of ": "\nRoute::get('/a/{id}', [App\\Http\\UserController::class, 'show'])->middleware('throttle:1');\n", ". ": "\n});\n",
+    " and ": "\nRoute::match(['get', 'post'], 'm', 'Other@run')->withoutMiddleware(['auth', 'web']);\n", " la ": "\nRoute::group(['prefix' => 'p', 'middleware' => ['web', 'admin']], function () { // {\n",
+    " le ": "\nRoute::resource('/posts', Post::class)->middleware([\"verified\"]);\n", " is ": "\nRoute::name('x.')->middleware('own')->post(\"b\", \\Foo\\Bar::class);\n",
+}
 _USE_SERVER = "CASE WHEN doc_id % 3 = 0 THEN " + literal("// actions\n'use server';\n") + " ELSE '' END"
 CODE_VIEWS = {
     "v_js": (
@@ -76,6 +82,7 @@ CODE_VIEWS = {
             ]) + ") AS text",
         ],
     ),
+    "v_php": ("documents", ["doc_id", paths(["routes/web{n}.php", "a{n}/routes/api.php", "x{n}/routes/console.php", "b{n}/routes/more.php", "c{n}/lib/routes.php"]) + " AS path", f"{rewritten('text', PHP)} AS text"]),
     "v_sql": (
         "documents",
         [
