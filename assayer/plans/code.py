@@ -35,6 +35,10 @@ def _near(times: int, plus: int, rest: int) -> str:
     return f"CAST((doc_id * {times} + {plus}) % 900 - (doc_id * {times} + {plus}) % 900 % 5 + {rest} AS STRING)"
 
 
+#: Every clause of a text is a route, without letters that mean something in code.
+_CLAUSES = "replace(translate(coalesce(text, ''), concat('\"(){}[]`', chr(39), chr(92), chr(10), chr(13)), ''), ', ', " + literal("\", requireAuth(h.Show))\n\tr.Get(\"/") + ")"
+
+
 #: JavaScript in three kinds: each snippet holds one of the things that the scanner looks for, and its opposite stands elsewhere.
 JS = [
     {" the ": " app.get('/", ", ": "', getUser(x), (c) => { const y = [1, \"a)(\", `b`]; // (\n", ". ": "\nexport async function POST(req) { await requireUser(req, [1, {a: 2}]); }\n",
@@ -71,6 +75,17 @@ CODE_VIEWS = {
             f"WHEN 1 THEN {rewritten('text', JS[2])} WHEN 5 THEN {rewritten('text', JS[2])} ELSE {rewritten('text', JS[0])} END) AS text",
         ],
     ),
+    "v_go": (
+        "documents",
+        [
+            "doc_id", "concat('p', CAST(doc_id % 7 AS STRING), '/r', CAST(doc_id AS STRING), '.go') AS path",
+            "concat(" + ", ".join([
+                literal("package x\n\nimport \"github.com/go-chi/chi/v5\"\n\nfunc Routes"), "CAST(doc_id AS STRING)", literal("(r chi.Router, h *Handler) {\n\tr.Use(logger)\n"),
+                *(x for n in (1, 2) for x in (literal("\tr.Route(\"/p"), "CAST(doc_id AS STRING)", literal(f"\", func(s chi.Router) {{\n\t\ts.Use(requireRole{n}(cfg))\n\t\tRoutes"), f"CAST(doc_id * 2 + {n} AS STRING)", literal("(s, h)\n\t})\n"))),
+                literal("\tr.Get(\"/"), _CLAUSES, literal("\", h.Show)\n\tr.Use(late)\n}\n"), "CASE WHEN doc_id = 0 THEN " + literal("\nfunc main() {\n\tr := chi.NewRouter()\n\tr.Use(h.session)\n\tRoutes0(r, h)\n}\n") + " ELSE '' END",
+            ]) + ") AS text",
+        ],
+    ),
     "v_imports": (
         "documents",
         [
