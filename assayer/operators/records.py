@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..plans.checkpoints import checkpointed
 from ..plans.registry import Registry
 from ..plans.views import table, view
 from ..sources import records
@@ -23,6 +24,7 @@ REMEDIATION = ["fixed", "partial", "open", "wont_fix", "cannot_verify"]
 
 def broken_rules(found: DataFrame) -> DataFrame:
     """(name, error) for each rule a finding file (name, and what records.findings reads) breaks; an unreadable head is an error for itself."""
+    found = checkpointed(found)  # the rules and the ids read it, and its texts are taken apart in Python
     f = lambda name: F.col("fields")[name]
     r = lambda name: F.col("remediation")[name]
     said = lambda c, words: F.coalesce(c.isin(words), F.lit(False))

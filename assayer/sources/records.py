@@ -10,26 +10,49 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FIELD = re.compile(r"(\s*)([A-Za-z_][\w-]*):(?:\s+(.*))?$")
+FIELD = re.compile(r"([\w-]+):(?:\s+(.*))?$", re.ASCII)
 HEAD = "fields map<string,string>, remediation map<string,string>, body string, errors array<string>"
 
 
+def without_comment(text: str) -> str:
+    """text up to a # at its beginning or behind white space, outside quotes; a backslash in quotes takes the next letter along."""
+    quote, at = "", 0
+    while at < len(text):
+        letter = text[at]
+        if quote:
+            at += letter == "\\"
+            quote = "" if letter == quote else quote
+        elif letter in "\"'":
+            quote = letter
+        elif letter == "#" and (at == 0 or text[at - 1].isspace()):
+            return text[:at].strip()
+        at += 1
+    return text.strip()
+
+
 def scalar(text: str) -> str | None:
-    """A field's value: a flow list as JSON, a quoted text without its quotes, a plain one without a comment behind it; nothing is None."""
-    text = text.strip()
+    """A field's value: a flow list as JSON, a quoted text without its quotes and with its escapes read, a plain one as it is; nothing is None."""
     if text[:1] == "[":
-        inner = text[1 : text.rfind("]")] if "]" in text else text[1:]
-        return json.dumps([x for part in re.findall(r'"[^"]*"|\'[^\']*\'|[^,]+', inner) if (x := part.strip().strip("\"'"))])
-    if text[:1] in ("'", '"') and text.count(text[0]) > 1:
-        return text[1 : text.index(text[0], 1)]
-    return re.split(r"\s+#|^#", text)[0].strip() or None
+        try:
+            return json.dumps(json.loads(text))
+        except ValueError:
+            return json.dumps([x for part in text[1:-1].split(",") if (x := re.sub(r"^[\"']|[\"']$", "", part.strip()))])
+    if text[:1] == '"':
+        try:
+            return str(json.loads(text))
+        except ValueError:
+            return text[1:-1]
+    if text[:1] == "'":
+        return text[1:-1].replace("''", "'")
+    return text or None
 
 
 def head(text: str | None) -> tuple[dict[str, str], dict[str, str] | None, str, list[str]]:
     """(fields, fields of the remediation block, body, errors) of a text that begins with a head between lines of ---.
 
-    A head has fields, one level of fields below a field, and lists of dashes; lists are kept as JSON. Texts over several lines
-    (| and >) and lines that are no field are errors, as is a head that is missing or doesn't end.
+    A head has fields, one level of fields below a field without a value, and lists of dashes; lists are kept as JSON. Texts over several lines
+    (| and >), lines that are no field and lines that are set in below a field with a value are errors, and change nothing else; so is a head
+    that is missing or doesn't end.
     """
     lines = (text or "").replace("\r\n", "\n").split("\n")
     if lines[0].strip() != "---" or "---" not in [x.rstrip() for x in lines[1:]]:
@@ -38,26 +61,29 @@ def head(text: str | None) -> tuple[dict[str, str], dict[str, str] | None, str,
     top: dict[str, str | None] = {}
     blocks: dict[str, dict[str, str]] = {}
     lists: dict[tuple[str, str], list[str]] = {}
-    errors, last, inner = [], "", ""
+    errors, last, parent = [], None, ""
     for line in lines[1:end]:
-        if not line.strip() or line.lstrip().startswith("#"):
+        plain = line.strip()
+        if not plain or plain.startswith("#"):
             continue
-        if line.lstrip().startswith("- ") and last:
-            lists.setdefault((last, inner), []).append(scalar(line.lstrip()[2:]) or "")
+        if plain.startswith("- ") and last:
+            lists.setdefault(last, []).append(scalar(without_comment(plain[2:])) or "")
+            parent = parent if last[1] else ""
             continue
-        found = FIELD.match(line)
-        if not found or (found[1] and not last):
-            errors.append(f"not a field: {line.strip()[:40]}")
+        found = FIELD.match(plain)
+        if not found:
+            errors.append(f"not a field: {plain[:40]}")
             continue
-        value = found[3] or ""
-        if value.strip()[:1] in ("|", ">"):
-            errors.append(f"text over several lines: {found[2]}")
-        if found[1]:
-            inner = found[2]
-            blocks.setdefault(last, {})[inner] = scalar(value)
+        key, value = found[1], without_comment(found[2] or "")
+        if re.fullmatch(r"[|>][-+]?", value):
+            errors.append(f"text over several lines: {key}")
+        if not line.startswith(" "):
+            top[key], last, parent = scalar(value), (key, ""), "" if value else key
+        elif parent:
+            blocks.setdefault(parent, {})[key] = scalar(value)
+            last = parent, key
         else:
-            last, inner = found[2], ""
-            top[last] = scalar(value)
+            errors.append(f"unexpected indentation: {plain[:40]}")
     for (field, below), items in lists.items():
         (blocks.setdefault(field, {}) if below else top)[below or field] = json.dumps(items)
     own = blocks.get("remediation")
