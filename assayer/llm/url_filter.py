@@ -38,8 +38,9 @@ def judged(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_c
     A null or empty url, one without a host, and a null time have the verdict none. Repeated captures each keep a row; empty tables are
     taken. Other columns are kept; those of these names are replaced.
     """
-    rows = captures.drop("verdict", "listed_entry", "listed_since")
-    timed = rows.select(F.col(url_col).alias("_url"), F.col(time_col).alias("_time")).where("_url IS NOT NULL AND _time IS NOT NULL")
+    captures = captures.drop("verdict", "listed_entry", "listed_since")
+    rows = captures.select(F.struct(*(captures[f"`{c}`"] for c in captures.columns)).alias("_row"), F.col(url_col).alias("_url"), F.col(time_col).alias("_time"))
+    timed = rows.select("_url", "_time").where("_url IS NOT NULL AND _time IS NOT NULL")
     listed = checkpointed(intervals(entries))
     few = listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     distinct = timed if few else timed.distinct()
@@ -53,8 +54,8 @@ def judged(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_c
     hits = keyed.join(F.broadcast(listed) if few else listed, "entry").where(valid)
     first = F.min(F.struct((-F.length("entry")).alias("l"), "entry", "since", "action")).alias("b")
     best = hits.groupBy("_url", "_time").agg(first).select("_url", "_time", F.col("b.action").alias("verdict"), F.col("b.entry").alias("listed_entry"), F.col("b.since").alias("listed_since"))
-    joined = rows.join(small(best), (F.col(url_col) == F.col("_url")) & (F.col(time_col) == F.col("_time")), "left").drop("_url", "_time")
-    return joined.withColumn("verdict", F.coalesce("verdict", F.lit("none")))
+    joined = rows.join(small(best), ["_url", "_time"], "left")
+    return joined.select("_row.*", F.coalesce("verdict", F.lit("none")).alias("verdict"), "listed_entry", "listed_since")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,3 +47,10 @@ def test_a_large_list_gives_the_same(spark, monkeypatch):
     few = sorted(map(str, judged(captures, entries).collect()))
     monkeypatch.setattr(url_filter, "BROADCAST_ROWS", 1)
     assert sorted(map(str, judged(captures, entries).collect())) == few
+
+
+def test_columns_with_clashing_names_stay(spark):
+    entries = spark.createDataFrame([("a.org", "block", day("2024-01-01"))], "entry string, action string, since timestamp")
+    captures = spark.createDataFrame([("http://a.org/", day("2024-01-15"), 1, "t", "e", 5, "dot")], "url string, fetched_at timestamp, _url int, _time string, entry string, _row int, `a.b` string")
+    got = judged(captures, entries).first()
+    assert (got.verdict, got.url, got["_url"], got["_time"], got.entry, got["_row"], got["a.b"], got.listed_entry) == ("block", "http://a.org/", 1, "t", "e", 5, "dot", "a.org")
