@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.checkpoints import checkpointed, shared_folder
+from ..plans.ordering import ranked
 from ..plans.registry import Registry
 from ..plans.views import table, view
 
@@ -104,15 +105,9 @@ _NAME = "concat(substring(CAST(l_shipdate AS STRING), 1, 10), 'T09-00-0', CAST(l
     f"WITH r AS (SELECT DISTINCT {_NAME.replace('STRING', 'VARCHAR')} AS name FROM lineitem WHERE l_suppkey % 4 <> 0) SELECT name, row_number() OVER (ORDER BY substring(name, 1, 19) DESC, CAST(coalesce(nullif(substring(name, 21), ''), '0') AS INT) DESC) AS n FROM r"
 )
 def history_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Finished runs by their names from the newest on; the numbers come from ordered ranges, not from one window."""
+    """Finished runs by their names from the newest on."""
     rows = table(spark, sf_dir, "lineitem").select(F.expr(_NAME).alias("name"), F.expr("l_suppkey % 4 <> 0").alias("report"))
-    ordered = checkpointed(finished(rows).select("name", "key").distinct().repartitionByRange(8, F.desc("key")).sortWithinPartitions(F.desc("key")).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}))
-    starts, before = {}, 0
-    for r in sorted(ordered.groupBy("part").agg(F.count("*").alias("rows"), F.min("at").alias("first")).collect()):
-        starts[r.part] = before - r.first
-        before += r.rows
-    offset = F.create_map(*(F.lit(x) for pair in starts.items() for x in pair))[F.col("part")] if starts else F.lit(0)
-    return ordered.select("name", (F.col("at") + offset + 1).alias("n"))
+    return ranked(finished(rows).select("name", "key").distinct(), [F.desc("key")], "n").select("name", "n")
 
 
 @REGISTRY.query(

@@ -14,7 +14,9 @@ KINDS = {"webhook": 2, "server-action": 2, "http-route": 1, "job": 1, "page": 0}
 
 def scored(texts: DataFrame, key: str, text_col: str) -> DataFrame:
     """key, score and reasons of each text: capped points of its areas plus the points of what is found in it."""
-    found = texts.select(key, F.explode(F.array(hits(AREAS + SINKS, F.coalesce(F.col(text_col), F.lit(""))))).alias("hits"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    both = texts.select(key, F.explode(F.array(F.struct(text.alias("text"), F.lower(text).alias("lower")))).alias("t"))
+    found = both.select(key, F.explode(F.array(hits(AREAS + SINKS, F.col("t.text"), F.col("t.lower")))).alias("hits"))
     score = F.least(F.lit(AREA_CAP), points(AREAS, F.col("hits"))) + points(SINKS, F.col("hits"), len(AREAS))
     return found.select(key, score.alias("score"), reasons(AREAS + SINKS, F.col("hits")).alias("reasons"))
 

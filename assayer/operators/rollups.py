@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.ordering import ranked
 from ..plans.registry import Registry
 from ..plans.views import view
 from .findings import SAME_PLACE, SEVERITIES, islands
@@ -191,14 +192,13 @@ def shard_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @REGISTRY.query(
-    f"SELECT file, group_line, row_number() OVER (ORDER BY first) AS place, n FROM (SELECT file, group_line, count(*) AS n, arg_min(struct_pack(family := {_FAMILY}, file := file, start_line := start_line, id := id), struct_pack(s := start_line, i := id)) AS first FROM ({_ISLANDS}) i GROUP BY file, group_line) g QUALIFY place <= 50",
+    f"SELECT file, group_line, row_number() OVER (ORDER BY first) AS place, n FROM (SELECT file, group_line, count(*) AS n, arg_min(struct_pack(family := {_FAMILY}, file := file, start_line := start_line, id := id), struct_pack(s := start_line, i := id)) AS first FROM ({_ISLANDS}) i GROUP BY file, group_line) g",
     "v_findings",
 )
 def groups_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first fifty groups of findings at one place, by family, file, line and id."""
+    """The groups of findings at one place, by family, file, line and id."""
     groups = grouped_places(view(spark, sf_dir, "v_findings").where("status = 'raw'"))
-    top = groups.orderBy("first").limit(50)
-    return top.select("file", "group_line", F.row_number().over(Window.orderBy("first")).alias("place"), "n")
+    return ranked(groups, [F.col("first")], "place").select("file", "group_line", "place", "n")
 
 
 def distinct_gaps(*sources: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..plans.ordering import ranked
 from ..plans.views import view, with_views
 from ..sources import reports
 
@@ -79,12 +80,9 @@ def advisory_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dependencies_by_cvss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hundred dependencies of the highest score, an unknown one counting as 0, the first by version on a tie."""
-    from pyspark.sql import Window
-
-    rows = advisory_rollup(spark, sf_dir)
-    top = rows.orderBy(F.coalesce("cvss", F.lit(0.0)).desc(), F.col("version").cast("long"), "lock").limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.coalesce("cvss", F.lit(0.0)).desc(), F.col("version").cast("long"), "lock"))).select("place", "name", "version", "cvss")
+    """The dependencies from the highest score on, an unknown one counting as 0, the first by version on a tie."""
+    order = [F.coalesce("cvss", F.lit(0.0)).desc(), F.col("version").cast("long"), F.col("lock"), F.col("name")]
+    return ranked(advisory_rollup(spark, sf_dir), order, "place").select("place", "name", "version", "cvss")
 
 
 def secret_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +122,7 @@ ORACLES = {
             f"{_NOTE.format(_CALLED)} AS note FROM ({_HITS}) h", "v_hits"),
         "severity_path": (f"SELECT ord, {_SEVERITY.format('level')} AS severity, file, {_NOTE.format('message')} AS note FROM ({_HITS}) h", "v_hits"),
         "advisory_rollup": (_ADVISORY, "v_hits"),
-        "dependencies_by_cvss": (f"SELECT row_number() OVER (ORDER BY cvss DESC, CAST(version AS BIGINT), lock) AS place, name, version, cvss FROM ({_ADVISORY}) a QUALIFY place <= 100", "v_hits"),
+        "dependencies_by_cvss": (f"SELECT row_number() OVER (ORDER BY cvss DESC, CAST(version AS BIGINT), lock, name) AS place, name, version, cvss FROM ({_ADVISORY}) a", "v_hits"),
         "secret_rows": (
             "SELECT report, rule, h.file, CAST(line AS INT) AS line, substr(sha256(CAST(ord AS STRING)), 1, 7) AS commit, '2024-01-0' || line AS date, h.file IN (SELECT path FROM v_paths) AS present FROM "
             "(SELECT *, 'lib/f' || (ord % 60) || CASE ord % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' ELSE '.xyz' END AS file FROM v_hits WHERE line IS NOT NULL) h", "v_hits", "v_paths"),
