@@ -179,4 +179,32 @@ def category_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "k.kind", scalars.compatible(F.col("category"), F.col("k.advisory"), F.col("k.any_category")).alias("fits"))
 
 
+def lockfile_roots(folders: DataFrame, files: DataFrame) -> DataFrame:
+    """folders (dir) with root: the nearest folder, itself or above it, that holds a lock file of files (path); "" is the root of the tree, null where there is none.
+
+    Each folder asks for all folders above it by equality, so as many rows move as folders are deep.
+    """
+    path = F.col("path")
+    held = files.where(scalars.file_name(path).isin(scalars.LOCKFILES)).select(F.regexp_replace(path, r"/?[^/]*$", "").alias("root")).distinct()
+    parts = F.filter(F.split("dir", "/"), lambda p: p != "")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    asked = folders.select("dir").distinct().select("dir", F.posexplode(above).alias("depth", "root"))
+    nearest = asked.join(held, "root").groupBy("dir").agg(F.max_by("root", "depth").alias("root"))
+    return folders.select("dir").distinct().join(nearest, "dir", "left").select("dir", "root")
+
+
+_LOCKS = ", ".join(repr(x) for x in scalars.LOCKFILES)
+
+
+@REGISTRY.query(
+    f", d AS (SELECT DISTINCT regexp_replace(path, '/?[^/]*$', '') AS dir FROM v_paths), r AS (SELECT DISTINCT regexp_replace(path, '/?[^/]*$', '') AS root FROM v_paths WHERE list_extract(string_split(path, '/'), -1) IN ({_LOCKS})) "
+    "SELECT dir, arg_max(root, length(root)) AS root FROM d LEFT JOIN r ON root = '' OR root = dir OR starts_with(dir, root || '/') GROUP BY dir",
+    "v_paths",
+)
+def nearest_lockfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each folder the nearest one at or above it with a lock file."""
+    files = view(spark, sf_dir, "v_paths").select("path")
+    return lockfile_roots(files.select(F.regexp_replace("path", r"/?[^/]*$", "").alias("dir")), files)
+
+
 QUERIES, ORACLES = REGISTRY.queries, REGISTRY.oracles
