@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..plans.checkpoints import checkpointed
+from ..plans.ordering import in_blocks
 from ..plans.registry import Registry
 from ..plans.views import table, view
 from ..sources import records
@@ -135,13 +136,14 @@ def remediation_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     "v_ledger",
 )
 def ledger_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ledger files, one a class, read back: rows and cited evidence by state, and the file that breaks off."""
+    """Ledger files of the classes read back: rows and cited evidence by state, and the classes whose files break off, once each. A class has as many files as it has blocks of rows."""
     entry = "named_struct('class', class, 'target', target, 'status', status, 'auditor', auditor, 'evidence', IF(evidence % 2 = 0, array('a', 'b'), array()))"
     text = F.concat(F.lit('{"schema_version":"1.0","entries":'), F.to_json(F.collect_list(F.expr(entry))), F.when(F.col("class") == 4, "").otherwise("}"))
-    read = records.ledgers(view(spark, sf_dir, "v_ledger").groupBy("class").agg(text.alias("text")))
-    whole = read.select("class", F.explode("entries").alias("e")).groupBy(F.col("class").cast("string").alias("class"), F.col("e.status").alias("status")).agg(F.count("*").alias("n"), F.sum(F.size("e.evidence")).alias("cited"))
-    bad = read.where("error IS NOT NULL").select(F.col("class").cast("string"), F.col("error").alias("status"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("cited"))
-    return whole.unionByName(bad)
+    read = records.ledgers(in_blocks(view(spark, sf_dir, "v_ledger")).groupBy("class", "_block").agg(text.alias("text")).drop("_block"))
+    said = lambda status, cited, bad: F.struct(status.alias("status"), cited.cast("long").alias("cited"), F.lit(bad).alias("bad"))
+    rows = F.when(F.col("error").isNotNull(), F.array(said(F.col("error"), F.lit(0), True))).otherwise(F.transform("entries", lambda e: said(e["status"], F.size(e["evidence"]), False)))
+    counted = read.select(F.col("class").cast("string").alias("class"), F.explode(rows).alias("e")).groupBy("class", "e.status", "e.bad").agg(F.count("*").alias("n"), F.sum("e.cited").alias("cited"))
+    return counted.select("class", "status", F.when(F.col("bad"), 1).otherwise(F.col("n")).cast("long").alias("n"), "cited")
 
 
 @REGISTRY.query("SELECT CAST(l_suppkey % 50 AS STRING) AS name, 'c' || l_linenumber AS class, l_returnflag AS \"check\", CASE WHEN l_linenumber % 2 = 0 THEN 'why ' || l_orderkey || ' · more' ELSE 'why ' || l_orderkey END AS why FROM lineitem")
@@ -149,7 +151,7 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of Markdown tables."""
     row = "concat('| c', l_linenumber, ' | ', l_returnflag, ' | why ', l_orderkey, IF(l_linenumber % 2 = 0, ' | more |', ' |  |'))"
     text = F.concat(F.lit("# Gaps\n\n| Category | Check | Why |\n|---|---|---|\n"), F.array_join(F.collect_list(F.expr(row)), "\n"))
-    return records.markdown_rows(table(spark, sf_dir, "lineitem").groupBy(F.expr("CAST(l_suppkey % 50 AS STRING)").alias("name")).agg(text.alias("text")))
+    return records.markdown_rows(in_blocks(table(spark, sf_dir, "lineitem")).groupBy(F.expr("CAST(l_suppkey % 50 AS STRING)").alias("name"), "_block").agg(text.alias("text")).drop("_block"))
 
 
 @REGISTRY.query("SELECT 'm' || user_id || '/r' || event_id % 40 AS response, event_id AS ord, event_id % 1000 AS input, CASE WHEN event_id % 3 = 0 THEN event_id % 7 ELSE event_id % 11 END AS cache_5m, CASE WHEN event_id % 3 = 0 THEN event_id % 5 ELSE 0 END AS cache_1h, 0 AS cache_read, event_id % 13 AS output FROM events WHERE event_id % 17 <> 0")

@@ -1,4 +1,4 @@
-"""Numbers for all rows of a table in one order, without one window over all of them."""
+"""Numbers for all rows of a table in one order, without one window over all of them, and blocks of rows."""
 
 from __future__ import annotations
 
@@ -23,3 +23,15 @@ def ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
         before += r.rows
     begun = F.broadcast(rows.sparkSession.createDataFrame(starts, "_part int, _before long"))  # one row a range
     return dealt.join(begun, "_part").withColumn(name, F.col("_at") + F.col("_before") + 1).drop("_part", "_at", "_before")
+
+
+#: Rows of a block: what one written document holds at most.
+BLOCK_ROWS = 65_536
+
+
+def in_blocks(rows: DataFrame, name: str = "_block", size: int = BLOCK_ROWS) -> DataFrame:
+    """rows with name, the number of a block of at most size of them that were read one behind the other.
+
+    A group within a block is bounded however long the table is, so that what is collected of it stays small.
+    """
+    return rows.withColumn(name, F.floor(F.monotonically_increasing_id() / size))
