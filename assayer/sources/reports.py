@@ -6,9 +6,7 @@ A text that isn't the JSON asked for gives no rows; null texts give none either.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,10 +84,11 @@ def json_stream(text: str | None) -> list[str]:
     text = text or ""
     while (at := _next_object(text, at)) >= 0:
         try:
-            value, at = decoder.raw_decode(text, at)
+            _, end = decoder.raw_decode(text, at)
         except ValueError:
             return []
-        out.append(json.dumps(value))
+        out.append(text[at:end])
+        at = end
     return out
 
 
@@ -99,12 +98,8 @@ def _next_object(text: str, at: int) -> int:
 
 def split_stream(reports: DataFrame) -> DataFrame:
     """report, ord, message of each object in streams of concatenated JSON."""
-
-    @F.pandas_udf("array<string>")
-    def messages(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield batch.map(json_stream)
-
+    # a hundred rows at a time, where an Arrow batch would hold the texts and messages of ten thousand
+    messages = F.udf(json_stream, "array<string>", useArrow=False)
     return reports.select("report", F.posexplode(messages(F.coalesce("text", F.lit("")))).alias("ord", "message"))
 
 
