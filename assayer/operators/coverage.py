@@ -45,7 +45,7 @@ def ledger_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def missing_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = spark.range(CLASSES).select(F.col("id").cast("int").alias("class"))
-    return every.join(view(spark, sf_dir, "v_ledger"), "class", "left_anti")
+    return every.join(view(spark, sf_dir, "v_ledger").select("class").distinct(), "class", "left_anti")  # a class a row, not a ledger's every row
 
 
 def uncovered_entries(spark: SparkSession, sf_dir: str) -> DataFrame:

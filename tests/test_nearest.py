@@ -2,14 +2,14 @@
 
 import pytest
 
-from assayer.operators import graphs
+from assayer.operators import coverage, graphs
 
 from .oracle import duck, rows
 
 DATA = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name, module", [("key_overlaps", graphs)])
+@pytest.mark.parametrize("name, module", [("key_overlaps", graphs), ("missing_classes", coverage)])
 def test_as_in_sql(spark, name, module):
     assert rows(module.QUERIES[name](spark, DATA).toPandas()) == rows(duck(module.ORACLES[name], DATA))
 
@@ -20,3 +20,7 @@ def plan(df):
 
 def test_pairs_that_overlap_come_out_once_without_being_kept(spark):
     assert "Aggregate" not in plan(graphs.key_overlaps(spark, DATA))
+
+
+def test_the_ledger_meets_the_classes_as_distinct_ones(spark):
+    assert "Aggregate" in plan(coverage.missing_classes(spark, DATA))
