@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, small, table, text_of
 from .components import connected
-from .similar import common, components_of
+from .similar import TALLY, common, components_of, tallied
 from .words import Words, blocks_of, first_of_each, runs, shingle_keys, simhashes, words_of
 
 #: Shingles whose bits are unpacked at a time.
@@ -249,9 +249,16 @@ def near_copies(docs: DataFrame, text_col: str = "text", similarity: float = 0.8
                 shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(point), pa.array(n.astype(np.int32)), shingles], names=["k1", "k2", "point", "n", "shingles"])
 
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            blobs = [t.lower().encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+            for part, begin in word_blocks(blobs):
+                _, _, starts, counts = described(part, begin)
+                yield first_of_each(*shingle_keys(part, starts, counts, words))[0]
+
     schema = "k1 long, k2 long, point long, n int, shingles array<long>"
     texts = docs.select(text_of(text_col).alias("text"))
-    marks = common(texts, lambda some: some.mapInArrow(lambda b: arrays(b, None, False), schema).select(F.explode("shingles").alias("s")))
+    marks = common(texts, lambda some: some.mapInArrow(lambda b: tallied(keys(b)), TALLY))
     described_texts = texts.mapInArrow(lambda b: arrays(b, marks, True), schema).where("n > 0")
     known = described_texts.groupBy("k1", "k2").agg(*(F.first(c).alias(c) for c in ("point", "n", "shingles")))
     known = checkpointed(known.withColumn("node", F.monotonically_increasing_id()))
