@@ -120,3 +120,17 @@ def test_matching_with_many_ties(spark):
             two.append(rows)
         frames = [spark.createDataFrame(x, SCHEMA) for x in two]
         assert sorted((r.c, r.p) for r in changes.match_findings(*frames).collect()) == sorted(greedy(*two)[0])
+
+
+def test_files_are_matched_within_tasks_and_crowded_ones_by_kinds(spark, monkeypatch):
+    """Four files of 30 findings each meet in no join of kinds unless they are too crowded, and give the same pairs either way."""
+    seen = []
+    for name in ("_near", "_same_file", "_same_title"):
+        monkeypatch.setattr(changes, name, lambda a, b, titles, plain=getattr(changes, name): seen.append(1) or plain(a, b, titles))
+    rng = random.Random(5)
+    two = [run(rng, first, 60) for first in (0, 1000)]
+    frames, want = [spark.createDataFrame(x, SCHEMA) for x in two], sorted(greedy(*two)[0])
+    assert sorted((r.c, r.p) for r in changes.match_findings(*frames).collect()) == want and not seen
+    for most in (0, 30):
+        monkeypatch.setattr(changes, "CELL_ROWS", most)
+        assert sorted((r.c, r.p) for r in changes.match_findings(*frames).collect()) == want and seen
