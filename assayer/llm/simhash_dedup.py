@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small, table, text_of
+from .common import checkpointed, digest, small, table, text_of
 from .components import connected
 from .similar import TALLY, common, components_of, tallied
 from .words import Words, blocks_of, first_of_each, runs, shingle_keys, simhashes, words_of
@@ -233,9 +233,10 @@ def near_copies(docs: DataFrame, text_col: str = "text", similarity: float = 0.8
 
     def arrays(batches: Iterator[pa.RecordBatch], marks: np.ndarray | None, prefix: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = [t.lower().encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+            blobs, at = [t.lower().encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()], 0
             for part, begin in word_blocks(blobs):
                 k1, k2, starts, counts = described(part, begin)
+                tags, at = batch.column("tag").slice(at, len(counts)), at + len(counts)
                 every, own = shingle_keys(part, starts, counts, words, marks)
                 keys, run = first_of_each(every, own)
                 n = np.bincount(run, minlength=len(counts))
@@ -247,7 +248,7 @@ def near_copies(docs: DataFrame, text_col: str = "text", similarity: float = 0.8
                     keys, run = first_of_each(keys, run, n - np.ceil(n * similarity - 1e-9).astype(np.int64) + 1)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(run, minlength=len(counts)))]).astype(np.int32)
                 shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(point), pa.array(n.astype(np.int32)), shingles], names=["k1", "k2", "point", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([tags, pa.array(k1), pa.array(k2), pa.array(point), pa.array(n.astype(np.int32)), shingles], names=["tag", "k1", "k2", "point", "n", "shingles"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
@@ -256,18 +257,20 @@ def near_copies(docs: DataFrame, text_col: str = "text", similarity: float = 0.8
                 _, _, starts, counts = described(part, begin)
                 yield first_of_each(*shingle_keys(part, starts, counts, words))[0]
 
-    schema = "k1 long, k2 long, point long, n int, shingles array<long>"
+    schema = "tag {}, k1 long, k2 long, point long, n int, shingles array<long>"
     texts = docs.select(text_of(text_col).alias("text"))
     marks = common(texts, lambda some: some.mapInArrow(lambda b: tallied(keys(b)), TALLY))
-    described_texts = texts.mapInArrow(lambda b: arrays(b, marks, True), schema).where("n > 0")
-    known = described_texts.groupBy("k1", "k2").agg(*(F.first(c).alias(c) for c in ("point", "n", "shingles")))
+    tagged = texts.withColumn("tag", digest(F.col("text")))
+    described_texts = tagged.mapInArrow(lambda b: arrays(b, marks, True), schema.format("binary")).where("n > 0")
+    known = described_texts.groupBy("k1", "k2").agg(*(F.first(c).alias(c) for c in ("tag", "point", "n", "shingles")))
     known = checkpointed(known.withColumn("node", F.monotonically_increasing_id()))
 
     def holds(pairs: DataFrame) -> DataFrame:
-        wanted = small(known.join(small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node").select("k1", "k2", "node"))
-        held = texts.withColumn("key", words_key(F.col("text"))).join(wanted, (F.col("key.k1") == F.col("k1")) & (F.col("key.k2") == F.col("k2")))
-        own = held.select("text").mapInArrow(lambda b: arrays(b, marks, False), schema).join(wanted, ["k1", "k2"])
-        own = own.select("node", "n", "shingles").dropDuplicates(["node"])  # one shuffle, by node, serves both joins
+        # one text of each node is found again by its digest, so that a task needs one Python worker and not a second one for keys
+        wanted = small(known.join(small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node").select("tag", "node"))
+        held = tagged.join(wanted, "tag").select("text", F.col("node").alias("tag"))
+        own = held.mapInArrow(lambda b: arrays(b, marks, False), schema.format("long")).select(F.col("tag").alias("node"), "n", "shingles")
+        own = own.dropDuplicates(["node"])  # one shuffle, by node, serves both joins
         sides = [own.select(F.col("node").alias(a), F.col("n").alias(n), F.col("shingles").alias(x)) for a, n, x in (("a", "m", "x"), ("b", "n", "y"))]
         both = pairs.join(sides[0], "a").join(sides[1], "b").where(F.least("m", "n") >= F.greatest("m", "n") * similarity - 1e-9)
         shared = F.size(F.array_intersect("x", "y"))

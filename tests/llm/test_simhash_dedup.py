@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+from assayer.llm import simhash_dedup
 from assayer.llm.components import connected
 from assayer.llm.simhash_dedup import cell_links, fingerprint, links, near_duplicates, signed
 
@@ -106,3 +107,12 @@ def test_crowds_are_dealt_out(spark):
         place = {int(p): n for n, p in enumerate(points.view(np.int64))}
         assert components(len(points), near) == components(len(points), [(place[a], place[b]) for a, b in zip(got.a.tolist(), got.b.tolist())])
         assert len(near) > 20
+
+
+def test_candidates_are_read_by_one_python_worker_a_task(spark, monkeypatch):
+    """Texts of candidates are found by their digest; a second function of Python beside that for shingles took an executor's memory."""
+    monkeypatch.setattr(simhash_dedup, "words_key", lambda text: 1 / 0)
+    base = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(base,), (base.upper(),), (f"{base} end",), ("others stand here alone",), (None,)], "text string")
+    got = simhash_dedup.near_copies(docs).collect()
+    assert len(got) == 2 and len({r.component for r in got}) == 1
