@@ -140,7 +140,7 @@ def match_findings(current: DataFrame, previous: DataFrame) -> DataFrame:
 
     Three passes of a greedy choice: the same file within LINE_WINDOW lines, the nearest first and equal titles before others;
     the same file and title; the same title. Only findings of one category can be the same. Findings without file or
-    lines are matched by title, or where neither has a line. The first two passes are made file by file and the last one category by
+    lines are matched by title, or where neither has a line; one without a last line has one line. The first two passes are made file by file and the last one category by
     category, each in a task of its own up to CELL_ROWS. Where there are more, findings that are alike in all these are one kind, and kinds
     meet instead of findings: near ones by blocks of lines, titles by their rarest words. Empty tables match nothing; ids have to be unique.
     """
