@@ -10,12 +10,13 @@ from ..functions.patterns import java, re2
 from ..plans.checkpoints import checkpointed
 from ..plans.registry import Registry
 from ..plans.views import view
-from .marks import Mark, marks, marks_sql, newlines
+from .marks import Mark, bound, marks, marks_sql, newlines
 
 REGISTRY = Registry()
 #: What a semicolon doesn't end a statement in: comments, quotes (a doubled quote is two of them), text between dollar tags.
 QUOTED = r"--[^\n]*|/\*[\s\S]*?(?:\*/|\z)|'[^']*(?:'|\z)"
-TOKEN = Mark("token", QUOTED + r"|(\$\w*\$)[\s\S]*?(?:\1|\z)|;", "", 1)
+#: What lies before a semicolon outside of these, or the end; most letters begin none of them and are passed over in runs.
+PART = rf"(?=[\s\S])((?:[^;'$/-]++|{QUOTED}|(\$\w*\$)[\s\S]*?(?:\2|\z)|[^;])*+)(?:;|\z)"
 #: The tags that the view uses; RE2 has no way to name a group again.
 _TAGGED = Mark("token", QUOTED + r"|\$\$[\s\S]*?(?:\$\$|\z)|\$fn\$[\s\S]*?(?:\$fn\$|\z)|;")
 #: What may stand before a statement.
@@ -41,38 +42,40 @@ SCORES = {"true": 4, "signed": 4, "bucket": 4, "public bucket": 2, "table": 6, "
 def statements(files: DataFrame, key: str = "path", column: str = "text") -> DataFrame:
     """(key, n, pos, line, statement) of each SQL statement, without what stands before it; pos and line are its own.
 
-    One pass finds comments, quoted text and semicolons, so a semicolon inside the others is part of them. The places of
-    semicolons cut the text, in one array a text. What is left behind the last one is a statement unless it is blank.
-    Null and empty texts have none.
+    One pass cuts a text at its semicolons: comments and quoted text are taken as a whole, so a semicolon inside them is part of them.
+    Sums over the lengths of the parts give the places, so no text is looked through from its beginning for each statement. What is
+    left behind the last semicolon is a statement unless it is blank. Null and empty texts have none.
     """
-    ends = marks(files, [TOKEN], key, column).where("found = ';'").groupBy(key).agg(F.array_sort(F.collect_list("pos")).alias("ends"))
-    text = F.coalesce(F.col(column), F.lit(""))
-    cuts = F.concat(F.coalesce("ends", F.array().cast("array<bigint>")), F.array(F.length(text).cast("long")))
-    parts = F.transform(cuts, lambda end, i: F.struct(i.alias("i"), F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(cuts, i - 1) + 1).alias("start"), end.alias("end")))
-    rows = files.select(key, column).join(ends, key, "left").select(key, text.alias("_text"), F.explode(parts).alias("s"), F.size(cuts).alias("_all"))
-    part = F.substr("_text", (F.col("s.start") + 1).cast("int"), (F.col("s.end") - F.col("s.start")).cast("int"))
-    rows = rows.select(key, F.col("s.i").alias("n"), F.col("s.start").alias("start"), part.alias("part"), (F.col("s.i") == F.col("_all") - 1).alias("last"))
+    whole = files.select(key, F.explode(F.array(F.coalesce(F.col(column), F.lit("")))).alias("_text"))
+    rows = whole.select(key, F.length("_text").alias("_all"), F.posexplode(F.regexp_extract_all("_text", F.lit(java(PART)), F.lit(1))).alias("n", "part"))
+    before = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    added = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0).cast("long"))
+    rows = rows.withColumns({"start": added(F.length("part") + 1), "lines": added(newlines(F.col("part")))})
     lead = F.regexp_extract("part", java(LEAD), 0)
-    before = F.sum(newlines(F.col("part"))).over(Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
-    placed = rows.withColumns({"lead": lead, "lines": F.coalesce(before, F.lit(0))}).where("NOT last OR trim(BOTH ' \t\r\n' FROM part) <> ''")
+    last = F.col("start") + F.length("part") == F.col("_all")
+    placed = rows.where(~last | (F.expr("trim(BOTH ' \t\r\n' FROM part)") != "")).withColumn("lead", lead)
     return placed.select(key, "n", (F.col("start") + F.length("lead")).alias("pos"), (F.col("lines") + newlines(F.col("lead")) + 1).alias("line"), F.substr("part", F.length("lead") + 1).alias("statement"))
 
 
 def clause(statement: Column, keyword: str) -> Column:
     """What stands between the brackets behind a keyword, trimmed; null without them or where nothing closes them.
 
-    The depth behind each of the letters ( and ) is the number of the first less that of the second before it, and the first place where
-    it is nought closes. Quotes aren't looked at.
+    The depth before each letter ) is the number of letters ( less that of letters ) so far, and the first place where it is nought closes. Quotes
+    aren't looked at.
     """
     pattern = rf"(?i)\b{keyword}\s*\("
     rest = F.substr(statement, F.length(F.regexp_extract(statement, java(rf"^([\s\S]*?){pattern}"), 0)) + 1)
-    parts = F.split(rest, r"\)")
-    inner = F.transform(parts, lambda _, i: i)
-    opened = F.transform(parts, lambda p: F.length(p) - F.length(F.replace(p, F.lit("("), F.lit(""))))
-    depth = F.transform(inner, lambda i: F.aggregate(F.slice(opened, 1, i + 1), F.lit(0), lambda a, b: a + b) - i)
-    closing = F.array_position(depth, 0)
-    held = F.array_join(F.slice(parts, F.lit(1), closing.cast("int")), ")")
-    return F.when(statement.rlike(java(pattern)) & (closing > 0) & (closing < F.size(parts)), F.regexp_replace(held, r"^\s+|\s+\z", ""))
+
+    def step(so_far: Column, part: Column) -> Column:
+        depth = so_far["depth"] + F.length(part) - F.length(F.replace(part, F.lit("("), F.lit("")))
+        closing = F.when(so_far["closing"] > 0, so_far["closing"]).when(depth == 0, so_far["n"] + 1).otherwise(0)
+        return F.struct((so_far["n"] + 1).alias("n"), (depth - 1).alias("depth"), closing.alias("closing"))
+
+    def held(parts: Column) -> Column:
+        closing = F.aggregate(parts, F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), F.lit(0).alias("closing")), step, lambda x: x["closing"])
+        return bound(closing, lambda c: F.when((c > 0) & (c < F.size(parts)), F.array_join(F.slice(parts, F.lit(1), c), ")")))
+
+    return F.when(statement.rlike(java(pattern)), F.regexp_replace(bound(F.split(rest, r"\)"), held), r"^\s+|\s+\z", ""))
 
 
 def _of(name: Column) -> Column:

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from assayer.operators.policies import clause, policy_rows, statements
 from pyspark.sql import functions as F
@@ -45,6 +46,20 @@ def test_statements_letter_by_letter(spark):
         assert got.get(i, []) == plain(text or ""), text
 
 
+def test_statements_take_time_by_their_length_only(spark):
+    text = "select ';' -- ;\n;" * 20000
+    began = time.perf_counter()
+    got = statements(spark.createDataFrame([(1, text)], "path long, text string")).agg(F.count("*").alias("n"), F.max("pos").alias("pos"), F.max("line").alias("line")).first()
+    assert tuple(got) == (20000, len(text) - 17, 20000) and time.perf_counter() - began < 20
+
+
+def test_clause_takes_time_by_its_length_only(spark):
+    inner = "(a)" * 20000
+    began = time.perf_counter()
+    got = spark.createDataFrame([(f"x using ({inner}) y",)], "s string").select(clause(F.col("s"), "using").alias("x")).first()
+    assert got.x == inner and time.perf_counter() - began < 20
+
+
 def test_clause(spark):
     rows = [("x using (a (b) c) with check ( (1) )", "a (b) c", "(1)"), ("using(", None, None), ("using ((a)", None, None), ("none", None, None), ("USING ()", "", None), (None, None, None)]
     df = spark.createDataFrame(rows, "s string, a string, b string").select("a", "b", clause(F.col("s"), "using").alias("x"), clause(F.col("s"), r"with\s+check").alias("y"))
