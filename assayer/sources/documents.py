@@ -51,8 +51,9 @@ class DocumentWriter(DataSourceWriter):
         if len(set(names)) < len(names):
             self.abort(messages)
             raise ValueError(f"two documents of one name: {next(n for n in names if names.count(n) > 1)}")
+        for folder in {os.path.dirname(path) for path in names}:
+            os.makedirs(f"{self.folder}/{folder}", exist_ok=True)
         for at, path in files:
-            os.makedirs(os.path.dirname(f"{self.folder}/{path}"), exist_ok=True)
             os.replace(at, f"{self.folder}/{path}")
         shutil.rmtree(self.staging, ignore_errors=True)
 

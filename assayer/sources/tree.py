@@ -25,17 +25,17 @@ SCHEMA = "path string, name string, size long, modified timestamp, lockfile bool
 
 
 @dataclass
-class Folder(InputPartition):
-    """A folder below the root, by itself or with all below it."""
+class Folders(InputPartition):
+    """Folders below the root (path, deep), each by itself or with all below it."""
 
-    path: str
-    deep: bool
+    of: list[tuple[str, bool]]
 
 
 class TreeReader(DataSourceReader):
     """The tree is listed by the driver level by level until there are folders enough; tasks list and read the rest.
 
-    Pruned folders and those that the option `under` rules out are never opened, and symbolic links aren't followed.
+    However many folders that are, they are dealt to as many tasks as the option `folders` says at most. Pruned folders and those that the
+    option `under` rules out are never opened, and symbolic links aren't followed.
     """
 
     def __init__(self, options: dict):
@@ -46,19 +46,20 @@ class TreeReader(DataSourceReader):
         self.enough = int(options.get("folders", "64"))
         self.largest = int(options.get("largest", LARGEST))
 
-    def partitions(self) -> list[Folder]:
+    def partitions(self) -> list[Folders]:
         done, level = [], [""]
         while level and len(done) + len(level) < self.enough:
-            done += [Folder(path, False) for path in level]
+            done += [(path, False) for path in level]
             level = [below for path in level for below in self.folders(path)]
-        return done + [Folder(path, True) for path in level]
+        every = done + [(path, True) for path in level]
+        return [Folders(every[n :: self.enough]) for n in range(min(len(every), self.enough))]
 
-    def read(self, partition: Folder) -> Iterator[tuple]:
-        waiting = [partition.path]
+    def read(self, partition: Folders) -> Iterator[tuple]:
+        waiting = list(partition.of)
         while waiting:
-            path = waiting.pop()
-            if partition.deep:
-                waiting += self.folders(path)
+            path, deep = waiting.pop()
+            if deep:
+                waiting += [(below, True) for below in self.folders(path)]
             for entry in self.entries(path):
                 if row := self.row(f"{path}/{entry.name}".lstrip("/"), entry):
                     yield row
@@ -96,7 +97,7 @@ class TreeSource(DataSource):
 
     Source files under LARGEST bytes have their text; lock files of any size are listed, without it unless they are source too. Options: files ("all" lists
     every file, without texts), under (a folder), modifiedAfter (seconds since 1970), folders (how many the driver lists at least
-    before tasks take over), largest. The root lies where all executors see it.
+    before tasks take over, and how many tasks there are at most), largest. The root lies where all executors see it.
     """
 
     @classmethod
@@ -129,11 +130,12 @@ def inventory(files: DataFrame) -> DataFrame:
     counted += [F.when(name.rlike(LANGUAGES[k]) & ~path.rlike(NON_RUNTIME), F.lit(f"runtime {k}")) for k in ("python", "go")]
     listed = [F.when(name == "go.mod", F.lit("go.mod")), F.when(path.rlike(r"^\.github/workflows/[^/]+\.ya?ml$"), F.lit("workflow")), F.when(name.rlike(DOCKERFILE), F.lit("dockerfile")),
               F.when(name.rlike(COMPOSE) | name.rlike(r"\.tf$") | (name == "Chart.yaml") | name.rlike(r"^kustomization\.ya?ml$"), F.lit("iac"))]
-    rows = lambda of: files.select("path", F.explode(F.array_compact(F.array(*of))).alias("what"))
-    counts = rows(counted).groupBy("what").agg(F.count("*").alias("n")).withColumn("paths", F.array().cast("array<string>"))
+    entry = lambda what, held: F.when(what.isNotNull(), F.struct(what.alias("what"), F.lit(held).alias("held")))
+    # one pass for both, since a tree is listed anew for each
+    rows = files.select("path", F.explode(F.array_compact(F.array(*(entry(w, False) for w in counted), *(entry(w, True) for w in listed)))).alias("of")).select("path", "of.*")
     depth = F.when(F.col("what") == "go.mod", F.size(F.split("path", "/"))).otherwise(0)
-    held = F.transform(F.array_sort(F.collect_list(F.struct(depth.alias("depth"), "path"))), lambda x: x["path"])
-    return counts.unionByName(rows(listed).groupBy("what").agg(F.count("*").alias("n"), held.alias("paths")))
+    held = F.transform(F.array_sort(F.collect_list(F.when(F.col("held"), F.struct(depth.alias("depth"), "path")))), lambda x: x["path"])
+    return rows.groupBy("what").agg(F.count("*").alias("n"), held.alias("paths"))
 
 
 # Names of Dockerfiles and of files that describe services.

@@ -60,6 +60,20 @@ def test_pruned_folders_are_not_opened(root, monkeypatch):
     assert set(opened) == {".", "lib", "lib/deep", "lib/deep/er"}
 
 
+def test_many_folders_are_few_tasks(tmp_path):
+    for n in range(300):
+        (tmp_path / f"p{n}" / "src").mkdir(parents=True)
+        (tmp_path / f"p{n}" / "src" / "a.ts").write_text("x")
+    parts = TreeReader({"path": str(tmp_path)}).partitions()
+    assert len(parts) == 64
+    assert sorted(row[0] for p in parts for row in TreeReader({"path": str(tmp_path)}).read(p)) == sorted(f"p{n}/src/a.ts" for n in range(300))
+
+
+def test_inventory_reads_the_tree_once(spark, root):
+    plan = inventory(tree(spark, root, files="all"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RelationV2") == 1
+
+
 def test_inventory(spark, root):
     got = {r.what: (r.n, r.paths) for r in inventory(tree(spark, root, files="all")).collect()}
     assert got["language python"][0] == 2 and got["runtime python"][0] == 1 and got["language ts"][0] == 4
