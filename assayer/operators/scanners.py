@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..plans.checkpoints import checkpointed
 from ..plans.ordering import in_blocks, ranked
 from ..plans.views import view, with_views
 from ..sources import reports
@@ -25,8 +26,10 @@ WRITTEN = {
 def documents(hits: DataFrame, element: str, shape: str) -> DataFrame:
     """(report, text): a report's hits as documents of the shape, one a block of rows, so that a document stays small however many hits a report has."""
     before, after = shape.format("\0").split("\0")
-    listed = F.to_json(F.collect_list(F.expr(element)))
-    return in_blocks(hits).groupBy("report", "_block").agg(F.concat(F.lit(before), listed, F.lit(after)).alias("text")).drop("_block")
+    # within an aggregate an element would be made by an interpreter, before it by compiled code; as text it is cheap to sort and move
+    rows = in_blocks(hits).select("report", "_block", F.to_json(F.array(F.expr(element))).alias("element"))
+    listed = F.array_join(F.collect_list(F.substring("element", F.lit(2), F.length("element") - 2)), ",")
+    return rows.groupBy("report", "_block").agg(F.concat(F.lit(before + "["), listed, F.lit("]" + after)).alias("text")).drop("_block")
 
 
 def _query(name: str):
@@ -82,7 +85,9 @@ def advisory_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dependencies_by_cvss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dependencies from the highest score on, an unknown one counting as 0, the first by version on a tie."""
     order = [F.coalesce("cvss", F.lit(0.0)).desc(), F.col("version").cast("long"), F.col("lock"), F.col("name")]
-    return ranked(advisory_rollup(spark, sf_dir), order, "place").select("place", "name", "version", "cvss")
+    # ranges are found by a sample, for which the reports would be read once more
+    rows = checkpointed(advisory_rollup(spark, sf_dir).select("lock", "name", "version", "cvss"))
+    return ranked(rows, order, "place").select("place", "name", "version", "cvss")
 
 
 def secret_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,11 +130,12 @@ def advisories(reports: DataFrame) -> DataFrame:
     package = f"package:struct<name:string,version:string,ecosystem:string>,groups:array<struct<ids:array<string>,max_severity:string>>,vulnerabilities:array<struct<{vuln}>>"
     results = _rows(reports, f"results array<struct<source:struct<path:string>,packages:array<struct<{package}>>>>", "d.results")
     rows = results.select("report", F.col("r.source.path").alias("lock"), F.explode("r.packages").alias("p"))
-    cvss = F.array_max(F.transform(F.coalesce("p.groups", F.array().cast("array<struct<ids:array<string>,max_severity:string>>")), lambda g: g["max_severity"].try_cast("double")))
-    named = lambda g: F.coalesce(F.get(F.filter(g["ids"], lambda i: i.startswith("CVE-")), F.lit(0)), F.get(g["ids"], F.lit(0)))
-    fixes = F.flatten(F.flatten(F.flatten(F.transform("p.vulnerabilities", lambda v: F.transform(v["affected"], lambda a: F.transform(a["ranges"], lambda r: r["events"]["fixed"]))))))
-    fixed = F.slice(F.array_distinct(F.filter(fixes, lambda f: f.isNotNull())), 1, 4)
-    return rows.select("report", "lock", F.col("p.package.name").alias("name"), F.col("p.package.version").alias("version"), F.col("p.package.ecosystem").alias("ecosystem"), cvss.alias("cvss"), F.transform("p.groups", named).alias("ids"), fixed.alias("fixed"))
+    # fields of arrays are taken without nested lambdas, which ask for their types again for each value; an empty score isn't cast, since a cast that fails throws and catches
+    cvss = F.array_max(F.transform("p.groups.max_severity", lambda s: F.nullif(s, F.lit("")).try_cast("double")))
+    named = lambda ids: F.coalesce(F.get(F.filter(ids, lambda i: i.startswith("CVE-")), F.lit(0)), F.get(ids, F.lit(0)))
+    fixes = F.flatten(F.flatten(F.flatten("p.vulnerabilities.affected")["ranges"])["events"])["fixed"]
+    fixed = F.slice(F.array_except(fixes, F.array(F.lit(None).cast("string"))), 1, 4)
+    return rows.select("report", "lock", F.col("p.package.name").alias("name"), F.col("p.package.version").alias("version"), F.col("p.package.ecosystem").alias("ecosystem"), cvss.alias("cvss"), F.transform("p.groups.ids", named).alias("ids"), fixed.alias("fixed"))
 
 
 def secrets(reports: DataFrame) -> DataFrame:
