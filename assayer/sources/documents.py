@@ -73,6 +73,10 @@ class Documents(DataSource):
         return DocumentWriter(self.options["path"])
 
 
+#: Documents that a task hands over to Python at a time; by default it would be ten thousand, as a whole.
+AT_A_TIME = 16
+
+
 class Refused(Exception):
     """Documents aren't written while there are errors."""
 
@@ -86,5 +90,12 @@ def write_documents(documents: DataFrame, folder: str, errors: DataFrame | None
     """
     if errors is not None and (first := errors.limit(5).collect()):
         raise Refused("; ".join(", ".join(str(v) for v in r) for r in first))
-    documents.sparkSession.dataSource.register(Documents)
-    documents.select("path", "text").write.format("documents").mode("append").option("path", folder).save()
+    spark = documents.sparkSession
+    spark.dataSource.register(Documents)
+    rows, batch = documents.select("path", "text"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, AT_A_TIME)
+    try:
+        rows.write.format("documents").mode("append").option("path", folder).save()
+    finally:
+        spark.conf.set(batch, before)

@@ -3,11 +3,14 @@
 import json
 
 import pytest
+import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from assayer.operators import graphs, scanners
 from assayer.operators.findings import WINDOW
 from assayer.sources import reports
+from assayer.sources.documents import AT_A_TIME, write_documents
 
 SF = "/root/testdata/sf0.001"
 
@@ -94,3 +97,17 @@ def test_copies_make_no_pairs_of_secondary_places(spark):
                 best[i] = min(best.get(i, (g, n, k)), (g, n, k))
     out = graphs.secondary(spark.createDataFrame(places, "id int, n int, file string, line int"), spark.createDataFrame(key, "key_id int, file string, lo int, hi int, kind string"))
     assert {r.id: (r.distance, r.key_id) for r in out.collect()} == {i: (d, k) for i, (d, _, k) in best.items()}
+
+
+def test_documents_go_to_python_a_few_at_a_time(spark, monkeypatch, tmp_path):
+    """And the session's own batches are as before, also after an error."""
+    batch, seen, save = "spark.sql.execution.arrow.maxRecordsPerBatch", [], DataFrameWriter.save
+    monkeypatch.setattr(DataFrameWriter, "save", lambda self, *a, **k: seen.append(int(spark.conf.get(batch))) or save(self, *a, **k))
+    before = spark.conf.get(batch)
+    docs = spark.range(100).coalesce(1).selectExpr("concat('d', id) AS path", "repeat('x', 1000) AS text")
+    write_documents(docs, str(tmp_path / "out"))
+    assert seen == [AT_A_TIME] and spark.conf.get(batch) == before
+    assert len([p for p in (tmp_path / "out").iterdir() if p.stat().st_size == 1000]) == 100
+    with pytest.raises(Exception, match="no place below"):
+        write_documents(docs.withColumn("path", F.lit("../x")), str(tmp_path / "out"))
+    assert spark.conf.get(batch) == before
