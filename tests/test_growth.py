@@ -1,14 +1,17 @@
 """What is worked out for large tables: how often, by what, and that results stay the same."""
 
 import json
+import re
 
 import pytest
 import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from assayer.functions.patterns import java
 from assayer.operators import graphs, scanners
 from assayer.operators.findings import WINDOW
+from assayer.operators.imports import IMPORT
 from assayer.sources import reports
 from assayer.sources.documents import AT_A_TIME, write_documents
 
@@ -111,3 +114,11 @@ def test_documents_go_to_python_a_few_at_a_time(spark, monkeypatch, tmp_path):
     with pytest.raises(Exception, match="no place below"):
         write_documents(docs.withColumn("path", F.lit("../x")), str(tmp_path / "out"))
     assert spark.conf.get(batch) == before
+
+
+def test_edges_before_plain_letters_are_looked_up_at_one_side():
+    """They find what an edge finds, and other edges stay as they were."""
+    assert java(IMPORT.pattern).count("(?<![A-Za-z0-9_])") == 5 and "(?<=[A-Za-z0-9_])" not in java(IMPORT.pattern)
+    assert all("(?<=[A-Za-z0-9_])" in java(p) for p in (r"\ba?b", r"\b[ab]", r"a\b", r"\b(a|b)", r"\ba*")) and java(r"\\bfrom") == r"(?d)\\bfrom"
+    for text in ("from", "xfrom", "_from", "9from", ".from", "éfrom", "from from", "\nfrom", "from\x00from"):
+        assert [m.span() for m in re.finditer(java(r"\bfrom")[4:], text)] == [m.span() for m in re.finditer(r"(?a:\b)from", text)]
