@@ -11,7 +11,7 @@ from ..plans.checkpoints import checkpointed
 from ..plans.registry import Registry
 from ..plans.views import table, view
 from .brackets import pairs, tokens, tokens_sql
-from .marks import Mark, marks, marks_sql
+from .marks import BLOCK, Mark, marks, marks_sql, within
 
 REGISTRY = Registry()
 # Files of routes, verbs, and forms of groups, middleware, handlers and access rules.
@@ -60,15 +60,17 @@ def laravel_routes(files: DataFrame) -> DataFrame:
     size = files.select("path", F.length("text").cast("long").alias("length"))
     mark = lambda *names: found.where(F.col("mark").isin(*names))
     # groups: the first brace behind each, and what its chain or the array before the brace says
-    braces = mark("group").select("path", "pos", "end").join(mark("brace").select("path", F.col("pos").alias("open")), "path").where("open >= end").groupBy("path", "pos", "end").agg(F.min("open").alias("open"))
+    at_ends = mark("group").select("path", "pos", "end", F.col("end").alias("at"), F.lit(True).alias("group")).unionByName(mark("brace").select("path", F.col("pos").alias("at"), F.lit(False).alias("group")), allowMissingColumns=True)
+    behind = Window.partitionBy("path").orderBy(F.desc("at"), "group").rowsBetween(Window.unboundedPreceding, -1)
+    braces = at_ends.withColumn("open", F.last(F.when(~F.col("group"), F.col("at")), True).over(behind)).where("group AND open IS NOT NULL").select("path", "pos", "end", "open")
     closed = pairs(of).select("path", F.col("pos").alias("open"), "close")
     groups = checkpointed(braces.join(closed, ["path", "open"], "left").join(size, "path").withColumn("close", F.coalesce("close", "length")).withColumn("chained", F.lit(False)))
-    heads = mark("group").select("path", F.col("pos").alias("g"), F.col("end").alias("g_end"), F.col("found").startswith("Route::group").alias("plain"))
-    inside = found.select("path", F.col("pos").alias("m"), F.col("end").alias("m_end"), "mark", "found", "g1", "g2")
-    said = heads.join(groups.select("path", F.col("pos").alias("g"), "open"), ["path", "g"]).join(inside, "path")
-    in_chain = ~F.col("plain") & (F.col("m") >= F.col("g")) & (F.col("m_end") <= F.col("g_end"))
-    in_array = F.col("plain") & (F.col("m") >= F.col("g_end")) & (F.col("m_end") <= F.col("open"))
-    said = said.where((in_chain & (F.col("mark").isin("prefix") | ((F.col("mark") == "middleware") & F.col("found").startswith("middleware")))) | (in_array & F.col("mark").isin("key-middleware", "key-prefix")))
+    plain = F.col("found").startswith("Route::group")
+    heads = mark("group").select("path", F.col("pos").alias("g"), F.col("end").alias("g_end"), plain.alias("plain")).join(groups.select("path", F.col("pos").alias("g"), "open"), ["path", "g"])
+    inside = found.select("path", F.col("pos").alias("place"), F.length("found").alias("size"), F.col("pos").alias("m"), "mark", "found", "g1", "g2")
+    in_chain = within(heads.where("NOT plain").select("path", "g", F.col("g").alias("pos"), F.col("g_end").alias("until")), inside.where((F.col("mark") == "prefix") | ((F.col("mark") == "middleware") & F.col("found").startswith("middleware"))))
+    in_array = within(heads.where("plain").select("path", "g", F.col("g_end").alias("pos"), F.col("open").alias("until")), inside.where(F.col("mark").isin("key-middleware", "key-prefix")))
+    said = in_chain.unionByName(in_array).select("path", "g", "m", "mark", "g1", "g2")
     names = F.when(F.col("mark") == "middleware", _quoted(F.col("g2"))).when(F.col("mark") == "key-middleware", _quoted(F.col("g1")))
     first = F.row_number().over(Window.partitionBy("path", "g", "mark").orderBy("m"))
     # an array names its middleware once, a chain may do so again and again
@@ -82,11 +84,10 @@ def laravel_routes(files: DataFrame) -> DataFrame:
     both = of.select("path", "pos", step.alias("step"), F.lit(None).cast("boolean").alias("route")).unionByName(mark("route").select("path", "pos", F.lit(0).alias("step"), F.lit(True).alias("route")))
     depth = F.sum("step").over(Window.partitionBy("path").orderBy("pos", F.col("route").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     begun = both.withColumn("depth", depth).where("route").select("path", "pos", "depth")
-    semis = of.where("token = ';'").select("path", F.col("pos").alias("semi"), "level")
-    ends = begun.join(semis, (begun["path"] == semis["path"]) & (F.col("semi") > F.col("pos")) & (F.col("level") <= F.col("depth")), "left").groupBy(begun["path"], "pos").agg(F.min("semi").alias("semi"))
+    ends = begun.select("path", "pos").join(first_not_deeper(begun, of.where("token = ';'").select("path", F.col("pos").alias("semi"), "level")), ["path", "pos"], "left")
     routes = checkpointed(mark("route").join(ends, ["path", "pos"]).join(size, "path").select("path", "pos", "line", F.col("g1").alias("verb"), F.col("g2").alias("methods"), F.substring("g3", F.lit(2), F.length("g3") - 2).alias("own_path"), F.coalesce("semi", "length").alias("until")))
     outer = routes.select("path", "pos").join(spans, "path").where("open < pos AND pos < close").groupBy("path", "pos").agg(F.array_sort(F.collect_list(F.struct("open", "names", "prefix"))).alias("groups"))
-    parts = routes.select("path", "pos", "until").join(inside.where(F.col("mark").isin("middleware", *HANDLERS)), "path").where("m >= pos AND m_end <= until")
+    parts = within(routes.select("path", "pos", "until"), inside.where(F.col("mark").isin("middleware", *HANDLERS)))
     listed = lambda which: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("m", _quoted(F.col("g2")).alias("names"))))), lambda x: x["names"]))
     middleware = F.col("mark") == "middleware"
     rank = F.array_position(F.array(*map(F.lit, HANDLERS)), F.col("mark"))
@@ -103,6 +104,20 @@ def laravel_routes(files: DataFrame) -> DataFrame:
     return rows.select("path", "pos", "line", called.alias("name"), url.alias("route"), F.array_except(F.array_distinct(every), F.coalesce("without", none)).alias("middleware"), F.element_at(F.split("h.g1", r"\\"), -1).alias("handler_class"), method.alias("handler_method"))
 
 
+def first_not_deeper(places: DataFrame, semis: DataFrame) -> DataFrame:
+    """(path, pos, semi) of places (path, pos, depth) with the first of semis (path, semi, level) behind each whose level isn't over depth.
+
+    It is looked for in the block of the place, and in the next block that holds one of such a level, which the least levels of blocks
+    tell; so a place meets the blocks of its file and what is in two of them.
+    """
+    held = semis.withColumn("_block", (F.col("semi") / BLOCK).cast("long"))
+    asked = checkpointed(places.select("path", "pos", "depth", (F.col("pos") / BLOCK).cast("long").alias("_block")))
+    least = held.groupBy("path", F.col("_block").alias("_later")).agg(F.min("level").alias("least"))
+    later = asked.join(least, "path").where("_later > _block AND least <= depth").groupBy("path", "pos", "depth").agg(F.min("_later").alias("_block"))
+    met = asked.unionByName(later).join(held, ["path", "_block"]).where("semi > pos AND level <= depth")
+    return met.groupBy("path", "pos").agg(F.min("semi").alias("semi"))
+
+
 def access_rules(configs: DataFrame) -> DataFrame:
     """(root, n, pattern, roles) of the access_control blocks of config/packages/security.yaml and the like (path, text), in their order."""
     block = F.regexp_extract("text", java(ACCESS), 1)
