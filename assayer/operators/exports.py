@@ -12,7 +12,7 @@ from ..plans.checkpoints import checkpointed, shared_folder
 from ..plans.registry import Registry
 from ..plans.views import view
 from ..sources import reports
-from ..sources.documents import write_documents
+from ..sources.documents import remove_documents, write_documents
 from ..sources.tree import LARGEST, SOURCE, inventory, tree
 
 REGISTRY = Registry()
@@ -132,8 +132,7 @@ def _shown(spark: SparkSession, documents: DataFrame, read) -> DataFrame:
     folder = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
     write_documents(documents, folder)
     out = checkpointed(read(folder))
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove_documents(spark, folder)
     return out
 
 
